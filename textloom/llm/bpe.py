@@ -22,11 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from textloom.llm.common import map_texts
+from textloom.llm.ragged import PairTable
 
 #: Unicode white space (the White_Space property), written out since engines differ on \s.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words remembered by a worker; a full memory is emptied.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -66,86 +67,111 @@ def merge_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list
 class WordBpe:
     """BPE with word ends, as its JSON file states: NFC, lower case, white space dropped.
 
-    ``library=True`` takes the ids of new words from the tokenizers library instead of the
-    heap; results are equal, which the tests hold.
+    ``heap=False`` merges new words in bulk (see ragged) instead of one by one; results are
+    equal, which the tests hold.
     """
 
-    def __init__(self, path: str, library: bool = False):
+    def __init__(self, path: str, heap: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.alphabet = byte_alphabet()
+        self.ranks = {m: i for i, m in enumerate(merges)} if heap else None
+        self.pairs = None if heap else PairTable([(self.vocab[a], self.vocab[b], i, self.vocab[a + b]) for i, (a, b) in enumerate(merges)], len(self.vocab))
+        self.inner = np.array([self.vocab[c] for c in self.alphabet], np.int64)
+        self.last = np.array([self.vocab[c + self.end] for c in self.alphabet], np.int64)
         import regex
 
         self.words_of = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+").findall
-        self.ids: dict[str, bytes] = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
-        self.fixed = dict(self.ids)
-        self.shown: dict[str, str] = {s: s for s in self.special}
-        self.library = None
-        if library:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(path)
-            self.library.no_truncation()
-            self.library.no_padding()
+        self.fixed = {s: (np.array([i], "<u4").tobytes(), s) for s, i in self.special.items()}
+        self.words: dict[str, tuple[bytes, str]] = {}
+        #: What stands between white space, to (ids, decoded).
+        self.known = dict(self.fixed)
 
     def word_symbols(self, word: str) -> list[str]:
         symbols = [self.alphabet[b] for b in word.encode("utf-8")]
         symbols[-1] += self.end
         return merge_symbols(symbols, self.ranks)
 
-    def learn(self, missing: set[str]) -> None:
-        if len(self.ids) + len(missing) > CACHE_WORDS:
-            self.ids, self.shown = dict(self.fixed), {s: s for s in self.special}
-        if self.library:
-            words = list(missing)
-            for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
+    def learn_words(self, words: list[str]) -> None:
+        if self.pairs is None:
+            for w in words:
+                found = self.word_symbols(w)
+                self.words[w] = np.array([self.vocab[s] for s in found], "<u4").tobytes(), " ".join(found)
             return
-        for w in missing:
-            found = self.word_symbols(w)
-            self.ids[w] = np.array([self.vocab[s] for s in found], "<u4").tobytes()
-            self.shown[w] = " ".join(found)
+        raw = [w.encode("utf-8") for w in words]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        row = np.repeat(np.arange(len(raw)), length)
+        code = np.frombuffer(b"".join(raw), np.uint8)
+        sym = self.inner[code]
+        ends = np.cumsum(length) - 1
+        sym[ends] = self.last[code[ends]]
+        sym, row = self.pairs.merge(sym, row)
+        stop = (4 * np.searchsorted(row, np.arange(len(raw)), "right")).tolist()
+        ids, start = sym.astype("<u4").tobytes(), 0
+        for w, e in zip(words, stop, strict=True):
+            self.words[w] = ids[start:e], ""
+            start = e
 
-    def segments(self, text: str) -> list[str]:
-        """Special strings and, between them, the words of the normalised text."""
+    def learn(self, missing: set[str]) -> None:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+            self.known.update(self.fixed)
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        parts = {m: self.words_of(m) for m in missing}
+        new = sorted(set().union(*parts.values()).difference(self.words))
+        for k in range(0, len(new), 100_000):
+            self.learn_words(new[k : k + 100_000])
+        of = self.words.__getitem__
+        for m, p in parts.items():
+            if len(p) == 1:
+                self.known[m] = of(p[0])
+            else:
+                found = [*map(of, p)]
+                self.known[m] = b"".join([a for a, _ in found]), " ".join([b for _, b in found])
+
+    def segments(self, text: str | None) -> list[str]:
+        """Special strings and, between them, what stands between white space of the normalised text."""
         out: list[str] = []
-        for part in self.cut.split(text) if "<|" in text else (text,):
+        for part in self.cut.split(text or "") if "<|" in (text or "") else (text or "",):
             if part in self.special:
                 out.append(part)
             elif part:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                out += self.words_of(part.lower())
+                part = part.lower()
+                if "\x1c" in part or "\x1d" in part or "\x1e" in part or "\x1f" in part:
+                    out += self.words_of(part)  # white space to Python's split, but not here
+                else:
+                    out += part.split()
         return out
 
-    def known(self, text: str) -> list[str]:
-        words = self.segments(text)
-        missing = set(words).difference(self.ids)
+    def lookups(self, texts: list[str | None]) -> list[list[tuple[bytes, str]]]:
+        """(ids, decoded) of all segments of each text."""
+        split = [self.segments(t) for t in texts]
+        wanted = set().union(*split)
+        missing = wanted.difference(self.known)
         if missing:
-            self.learn(missing)
-            if not self.ids.keys() >= set(words):  # the memory was emptied meanwhile
-                self.learn(set(words).difference(self.ids))
-        return words
+            self.learn(missing if len(self.known) <= CACHE_WORDS else wanted.difference(self.fixed))
+        of = self.known.__getitem__
+        return [[*map(of, s)] for s in split]
 
-    def encode_bytes(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.ids.__getitem__, self.known(text))) if text else b""
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return [b"".join([a for a, _ in found]) for found in self.lookups(texts)]
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        return np.frombuffer(self.encode_bytes([text])[0], "<u4").tolist()
 
-    def encode_and_decode(self, text: str | None) -> tuple[bytes, str]:
-        if not text:
-            return b"", ""
-        words = self.known(text)
-        return b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.shown.__getitem__, words))
+    def encode_and_decode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        return [(b"".join([a for a, _ in found]), " ".join([b for _, b in found if b])) for found in self.lookups(texts)]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings of the ids, space-joined: the file names no decoder."""
@@ -153,13 +179,13 @@ class WordBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def word_bpe(path: str | None, library: bool = False) -> WordBpe:
+def word_bpe(path: str | None, heap: bool = True) -> WordBpe:
     """One encoder per Python worker. path: a file, else the public word vocabulary."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return WordBpe(path, library)
+    return WordBpe(path, heap)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -167,7 +193,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(ids, texts):
         bpe = word_bpe(path)
-        both = [bpe.encode_and_decode(t) for t in texts]
+        both = bpe.encode_and_decode(texts)
         return {"doc_id": ids, "ids": [np.frombuffer(a, "<u4").tolist() for a, _ in both], "decoded": [b for _, b in both]}
 
     return map_texts(df, id_col, text_col, f"doc_id {df.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string", run)
@@ -189,8 +215,7 @@ def encode_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(ids, texts):
         bpe = word_bpe(path)
         n, a, b = [], [], []
-        for t in texts:
-            raw, decoded = bpe.encode_and_decode(t)
+        for raw, decoded in bpe.encode_and_decode(texts):
             n.append(len(raw) // 4)
             a.append(hashlib.sha256(raw).hexdigest())
             b.append(hashlib.sha256(decoded.encode()).hexdigest())

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from textloom.llm.bpe import word_bpe
+from textloom.llm.bulk_bpe import bulk_bpe
 from textloom.llm.common import arrow_schema, map_texts, materialize, ship_package
 
 LIMIT = 2048
@@ -40,10 +40,10 @@ def pieces(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
     """doc_id, piece, start, length, ids_crc32 of every document's ids followed by ``end``."""
 
     def run(ids, texts):
-        bpe = word_bpe(path, library=True)
+        bpe = bulk_bpe(path)
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for key, t in zip(ids, texts, strict=True):
-            raw = bpe.encode_bytes(t) + end
+        for key, raw in zip(ids, bpe.encode(texts), strict=True):
+            raw += end
             for k, at in enumerate(range(0, len(raw), 4 * limit)):
                 part = raw[at : at + 4 * limit]
                 for name, v in zip(out, (key, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -1,10 +1,7 @@
 """Token counts of whole texts without building the tokens (operator 5).
 
-Distinct pre-tokens of a batch become ragged numpy arrays of symbols. Every round finds each
-sequence's lowest-rank pair and merges all its occurrences at once; sequences without a
-mergeable pair leave with their count of surviving symbols. Where a merge makes a pair of
-equal or lower rank beside it, one-at-a-time order could differ: those few sequences are
-counted by a heap instead, so counts are exact.
+Distinct pre-tokens of a batch become ragged numpy arrays of symbols, each sequence's
+lowest-rank pair is merged everywhere at once (see ragged), and surviving symbols are counted.
 
 Defined results: null or empty text 0 tokens and 0 bytes. No truncation.
 """
@@ -12,7 +9,6 @@ Defined results: null or empty text 0 tokens and 0 bytes. No truncation.
 from __future__ import annotations
 
 import functools
-import heapq
 import re
 from itertools import accumulate, pairwise
 
@@ -20,9 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from textloom.llm.common import map_texts
+from textloom.llm.ragged import PairTable
 
 SPACE = "▁"
-NONE = np.iinfo(np.int64).max
 CACHE_WORDS = 400_000
 
 
@@ -42,14 +38,8 @@ class PieceCounter:
             for c in p:
                 self.symbol.setdefault(c, len(self.symbol))
         rank = {p: round(-s * 1e3) for _, p, s in pieces}
-        self.names = list(self.symbol)
         self.bytes_of = np.array([1 if k < self.whole else len(s.encode()) for s, k in self.symbol.items()], np.int64)
-        self.size = len(self.symbol) + 1
-        joined = sorted((self.symbol[p[:k]] * self.size + self.symbol[p[k:]], rank[p], self.symbol[p]) for _, p, _ in pieces for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol)
-        self.keys = np.array([k for k, _, _ in joined], np.int64)
-        self.ranks = np.array([r for _, r, _ in joined], np.int64)
-        self.made = np.array([m for _, _, m in joined], np.int64)
-        self.pair = {int(k): (int(r), int(m)) for k, r, m in joined}
+        self.pairs = PairTable([(self.symbol[p[:k]], self.symbol[p[k:]], rank[p], self.symbol[p]) for _, p, _ in pieces for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol], len(self.symbol) + 1)
         table = np.full(0x110000, -1, np.int32)
         for s, k in self.symbol.items():
             if len(s) == 1:
@@ -58,98 +48,14 @@ class PieceCounter:
         self.split = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
         self.seen: dict[str, int] = {}
 
-    def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left * self.size + right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.ranks[at], NONE), self.made[at]
-
-    def heap_count(self, symbols: list[int]) -> int:
-        """Exact order, one merge at a time: lowest rank, then leftmost."""
-        n, sym = len(symbols), list(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int, j: int) -> None:
-            if sym[i] >= 0 and sym[j] >= 0 and (x := self.pair.get(sym[i] * self.size + sym[j])):
-                heapq.heappush(heap, (x[0], i, sym[i], sym[j]))
-
-        for i in range(n - 1):
-            push(i, i + 1)
-        alive, gone = n, [False] * n
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], gone[j] = self.pair[a * self.size + b][1], True
-            alive -= 1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                push(i, k)
-            if before[i] >= 0:
-                push(before[i], i)
-        left = [s for s, g in zip(sym, gone, strict=True) if not g]
-        return alive + sum(int(self.bytes_of[s]) - 1 for s in left if s >= 0)
-
     def count_words(self, words: list[str]) -> np.ndarray:
-        """Tokens of each (non-empty) pre-token."""
-        out = np.zeros(len(words), np.int64)
+        """Tokens of each (non-empty) pre-token. Characters of no piece give as many as UTF-8 bytes."""
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        row = np.repeat(np.arange(len(words)), lengths)
+        row = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
         sym = self.char[codes].astype(np.int64)
-        lost = sym < 0  # characters of no piece: as many tokens as UTF-8 bytes
-        if lost.any():
-            c = codes[lost]
-            np.add.at(out, row[lost], (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF))
-        first = sym.copy()
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        rank, made = self.lookup(sym[:-1], sym[1:])
-        rank = np.append(rank, NONE)
-        made = np.append(made, 0)
-        rank[np.append(row[1:] != row[:-1], True)] = NONE
-        hazard: set[int] = set()
-        while len(sym):
-            begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            least = np.minimum.reduceat(rank, begin)
-            size = np.diff(np.append(begin, len(sym)))
-            done = least == NONE
-            if done.any():
-                keep = np.repeat(~done, size)
-                ended = ~keep
-                np.add.at(out, row[ended], np.where(sym[ended] >= 0, self.bytes_of[sym[ended]], 1))
-                sym, row, rank, made, least, size = sym[keep], row[keep], rank[keep], made[keep], least[~done], size[~done]
-                if not len(sym):
-                    break
-            floor = np.repeat(least, size)
-            at = np.flatnonzero(rank == floor)
-            run = np.append(True, (at[1:] != at[:-1] + 1))
-            first_of_run = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - first_of_run) % 2 == 0]  # of overlapping pairs, every other from the left
-            sym[at] = made[at]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            place = np.cumsum(keep) - 1
-            new = place[at]
-            sym, row, rank, made, floor = sym[keep], row[keep], rank[keep], made[keep], floor[keep]
-            touched = np.unique(np.concatenate([new, new[new > 0] - 1]))
-            right = np.minimum(touched + 1, len(sym) - 1)
-            r, m = self.lookup(sym[touched], sym[right])
-            r[(right == touched) | (row[right] != row[touched])] = NONE
-            rank[touched], made[touched] = r, m
-            bad = row[touched[r <= floor[touched]]]
-            if len(bad):
-                hazard.update(bad.tolist())
-                keep = ~np.isin(row, bad)
-                sym, row, rank, made = sym[keep], row[keep], rank[keep], made[keep]
-        for k in hazard:
-            s = first[starts[k] : starts[k] + lengths[k]]
-            c = codes[starts[k] : starts[k] + lengths[k]][s < 0]
-            out[k] = self.heap_count(s.tolist()) + int(((c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF)).sum())
-        return out
+        sym = np.where(sym < 0, -1 - (codes > 0x7F) - (codes > 0x7FF) - (codes > 0xFFFF), sym)
+        sym, row = self.pairs.merge(sym, row)
+        return np.bincount(row, np.where(sym < 0, -sym, self.bytes_of[np.maximum(sym, 0)]), len(words)).astype(np.int64)
 
     def counts(self, texts: list[str | None]) -> list[int]:
         split = [self.split((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
