@@ -82,6 +82,9 @@ class PairTable:
             at = np.flatnonzero(rank == floor)
             run = np.append(True, at[1:] != at[:-1] + 1)
             at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))) % 2 == 0]
+            # Between two merges side by side, the first one's new pair comes before the second merge.
+            near = at[:-1][(at[1:] == at[:-1] + 2) & (row[at[1:]] == row[at[:-1]])]
+            early = row[near[self.lookup(made[near], sym[near + 2])[0] <= floor[near]]]
             sym = sym.copy()
             sym[at] = made[at]
             keep = np.ones(len(sym), bool)
@@ -95,7 +98,7 @@ class PairTable:
             r, m = self.lookup(sym[touched], sym[right])
             r[(right == touched) | (row[right] != row[touched])] = NONE
             rank[touched], made[touched] = r, m
-            bad = row[touched[r <= floor[touched]]]
+            bad = np.concatenate([early, row[touched[r <= floor[touched]]]])
             if len(bad):
                 hazard.update(bad.tolist())
                 keep = ~np.isin(row, bad)
