@@ -85,16 +85,16 @@ def word_language(word: Column) -> Column:
     """PUNCT, MIX, HI, UNIV or EN by ordered rules."""
 
     def rules(w: Column) -> Column:
-        dev, low = w.rlike(DEVANAGARI), F.lower(w)
+        low = F.lower(w)
+        # The lists hold Roman words only, so they can be asked before the scripts are.
         return (
             F.when(w == "", "PUNCT")
-            .when(dev & w.rlike(ROMAN), "MIX")
-            .when(dev, "HI")
-            .when(low.rlike("^\\p{Nd}+$"), "UNIV")
             .when(among(low, lex.UNIVERSAL), "UNIV")
             .when(among(low, lex.SCIENCE), "EN")
             .when(among(low, lex.HINDI), "HI")
-            .otherwise("EN")
+            .when(~w.rlike(DEVANAGARI + "|^\\p{Nd}+$"), "EN")
+            .when(w.rlike(DEVANAGARI), F.when(w.rlike(ROMAN), "MIX").otherwise("HI"))
+            .otherwise("UNIV")
         )
 
     return let(bare(word), rules)
@@ -143,8 +143,9 @@ def normalize_spelling(text: Column) -> Column:
     """text: known variants and shorthand rewritten, marks kept; n_changes."""
 
     def word(w: Column) -> Column:
-        known = lambda p: among(F.lower(p["core"]), lex.REWRITES)  # noqa: E731  a hash set; only its hits search the map
-        return let(core_parts(w), lambda p: F.when(known(p), F.concat(p["prefix"], lookup(lex.REWRITES, F.lower(p["core"])), p["suffix"])).otherwise(w))
+        # One pattern and a hash set tell which words change; only those are taken apart.
+        known = among(F.lower(F.regexp_replace(w, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")), lex.REWRITES)
+        return F.when(known, let(core_parts(w), lambda p: F.concat(p["prefix"], lookup(lex.REWRITES, F.lower(p["core"])), p["suffix"]))).otherwise(w)
 
     return let(split_words(text), lambda old: let(F.transform(old, word), lambda new: F.struct(F.array_join(new, " ").alias("text"), F.size(F.filter(F.arrays_zip(old.alias("a"), new.alias("b")), lambda x: x["a"] != x["b"])).alias("n_changes"))))
 
