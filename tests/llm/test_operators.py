@@ -196,7 +196,7 @@ def test_quality_estimate_finds_accuracies():
         good = rng.random() < 0.7
         patterns["".join("2" if rng.random() < 0.2 else str(int(good == (rng.random() < a))) for a in accuracy)] += 1
     prior, found, posterior = quality_rules.estimate(patterns)
-    assert abs(prior - 0.7) < 0.05 and all(abs(a - b) < 0.05 for a, b in zip(accuracy, found, strict=True))
+    assert abs(prior - 0.7) < 0.05 and all(abs(a - b) < 0.05 for a, both in zip(accuracy, found, strict=True) for b in both)
     assert posterior["1111"] > 0.99 > 0.01 > posterior["0000"]
     assert quality_rules.estimate({}) == (0.5, [], {})
 

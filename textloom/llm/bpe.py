@@ -27,7 +27,7 @@ from textloom.llm.ragged import PairTable
 #: Unicode white space (the White_Space property), written out since engines differ on \s.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words remembered by a worker; a full memory is emptied.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def byte_alphabet() -> list[str]:

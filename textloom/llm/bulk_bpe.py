@@ -17,7 +17,7 @@ import regex
 from textloom.llm.bpe import WHITE, WordBpe
 from textloom.llm.common import slices
 
-MOST_WORDS = 1_000_000
+MOST_WORDS = 800_000
 POWERS = 4096
 SLICE = 3_000_000
 SEPARATOR = "\n"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 #: Bytes of text handled at once by a Python worker.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 5_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

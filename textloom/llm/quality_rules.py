@@ -22,6 +22,8 @@ from textloom.llm.common import materialize
 WHITE = " \t\n\x0b\x0c\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: ASCII characters that are no letters and no sentence punctuation.
+MARKS = "#*$%&|<>@^~`_=+/\\\\{}[]0123456789"
 WINDOW = 5
 KEEP_AT = 0.5
 ROUNDS = 50
@@ -67,7 +69,7 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.col(id_col).alias("doc_id"),
         let(words, counts).alias("w"),
         by_line.alias("l"),
-        let(plain, lambda t: F.struct(F.length(t).cast("long").alias("word_chars"), count_of(t, SYMBOLS).alias("n_symbols"), count_of(t, "0123456789").alias("n_digits"), count_of(t, ".!?").alias("n_ends"))).alias("c"),
+        let(plain, lambda t: F.struct(F.length(t).cast("long").alias("word_chars"), count_of(t, SYMBOLS).alias("n_symbols"), count_of(t, "0123456789").alias("n_digits"), count_of(t, ".!?").alias("n_ends"), count_of(t, MARKS).alias("n_marks"))).alias("c"),
     )
     return rows.select("doc_id", "w.*", "l.*", "c.*")
 
@@ -84,37 +86,45 @@ def rules() -> dict[str, Column]:
         "symbols": vote(1000 * F.col("n_symbols") <= 5 * c, 100 * F.col("n_symbols") > 5 * c),
         "lines": vote(F.col("n_dup_lines") == 0, 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
         "repeats": vote(100 * F.col("n_repeat_words") <= 2 * n, 100 * F.col("n_repeat_words") > 15 * n),
+        "letters": vote(100 * F.col("n_marks") <= 5 * c, 100 * F.col("n_marks") > 15 * c),
         "word_length": vote((c >= 3 * n) & (c <= 10 * n), (2 * c < 5 * n) | (c > 14 * n)),
         "sentences": vote(50 * F.col("n_ends") >= n, (100 * F.col("n_ends") < n) & (n >= 60)),
         "digits": vote(100 * F.col("n_digits") <= 10 * c, 100 * F.col("n_digits") > 30 * c),
     }
 
 
-def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[float, list[float], dict[str, float]]:
-    """(share of good, each rule's accuracy, each pattern's posterior) from counts of vote patterns."""
+def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]], dict[str, float]]:
+    """(share of good, each rule's accuracy on good and on bad texts, each pattern's posterior).
+
+    patterns: counts of vote patterns. A rule has a chance of each vote on good texts and one on
+    bad texts, so that votes that come whatever the text weigh nothing. At the start texts
+    against which no rule votes count as good, those against which one votes as bad rather.
+    """
     if not patterns:
         return 0.5, [], {}
-    size = len(next(iter(patterns)))
-    prior, accuracy = 0.7, [0.8] * size
     order = sorted(patterns)
-
-    def posterior(pattern: str) -> float:
-        good, bad = prior, 1 - prior
-        for v, a in zip(pattern, accuracy, strict=True):
-            if v != "2":
-                good *= a if v == "1" else 1 - a
-                bad *= a if v == "0" else 1 - a
-        return good / (good + bad)
-
+    size = len(order[0])
+    total = sum(patterns.values())
+    good = {k: 0.95 if "0" not in k else 0.25 for k in order}
+    prior, chance = 0.5, []
     for _ in range(rounds):
-        p = {k: posterior(k) for k in order}
-        total = sum(patterns.values())
-        prior = min(0.95, max(0.05, sum(p[k] * patterns[k] for k in order) / total))
+        mass = sum(good[k] * patterns[k] for k in order)
+        prior = min(0.99, max(0.01, mass / total))
+        chance = []
         for i in range(size):
-            right = sum((p[k] if k[i] == "1" else 1 - p[k]) * patterns[k] for k in order if k[i] != "2")
-            voted = sum(patterns[k] for k in order if k[i] != "2")
-            accuracy[i] = min(0.99, max(0.55, (right + 0.8) / (voted + 1)))
-    return prior, accuracy, {k: posterior(k) for k in order}
+            n = {v: [1.0, 1.0] for v in "01"}  # one text of each kind and vote beforehand
+            for k in order:
+                if k[i] != "2":
+                    n[k[i]][0] += good[k] * patterns[k]
+                    n[k[i]][1] += (1 - good[k]) * patterns[k]
+            chance.append({v: tuple(n[v][j] / (n["0"][j] + n["1"][j]) for j in (0, 1)) for v in "01"})
+        for k in order:
+            a, b = prior, 1 - prior
+            for i, v in enumerate(k):
+                if v != "2":  # who abstains says nothing
+                    a, b = a * chance[i][v][0], b * chance[i][v][1]
+            good[k] = a / (a + b)
+    return prior, [(c["1"][0], c["0"][1]) for c in chance], good
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:

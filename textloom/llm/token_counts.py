@@ -19,7 +19,7 @@ from textloom.llm.common import map_texts
 from textloom.llm.ragged import PairTable
 
 SPACE = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class PieceCounter:

@@ -43,7 +43,7 @@ LETTERS = 40
 SAMPLE_TOXIC = 1200
 SAMPLE_CLEAN = 2500
 LANDMARKS = 160
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 OFFSETS = [x for x in combinations(range(1, SPAN), ORDER - 1)]
 WEIGHTS = DECAY ** (np.arange(SPAN) + 1.0)
 #: Runs of four or more single characters set apart by white space are read as one word.
