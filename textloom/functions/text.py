@@ -55,6 +55,11 @@ def core_parts(word: Column) -> Column:
     return F.struct(part(1).alias("prefix"), part(2).alias("core"), part(3).alias("suffix"))
 
 
+def core(word: Column) -> Column:
+    """From the first to the last letter or digit."""
+    return F.regexp_replace(word, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")
+
+
 def strip_marks(word: Column) -> Column:
     """Without sentence punctuation, quotes and brackets at its ends."""
     return F.btrim(word, F.lit(PUNCTUATION))
@@ -144,7 +149,7 @@ def normalize_spelling(text: Column) -> Column:
 
     def word(w: Column) -> Column:
         # One pattern and a hash set tell which words change; only those are taken apart.
-        known = among(F.lower(F.regexp_replace(w, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")), lex.REWRITES)
+        known = among(F.lower(core(w)), lex.REWRITES)
         return F.when(known, let(core_parts(w), lambda p: F.concat(p["prefix"], lookup(lex.REWRITES, F.lower(p["core"])), p["suffix"]))).otherwise(w)
 
     return let(split_words(text), lambda old: let(F.transform(old, word), lambda new: F.struct(F.array_join(new, " ").alias("text"), F.size(F.filter(F.arrays_zip(old.alias("a"), new.alias("b")), lambda x: x["a"] != x["b"])).alias("n_changes"))))

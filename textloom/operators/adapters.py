@@ -75,3 +75,30 @@ def answer(questions: DataFrame, chunks: DataFrame, k: int = 3, least: float = 0
     intent = T.classify_intent(F.col("question"))
     found = F.col("best") >= least
     return rows.select("q_id", "question", intent.alias("intent"), "best", F.when(found, R.prompt(F.col("context"), F.col("question"), intent)).alias("prompt"), F.when(found, generate(F.col("context"), F.col("question"))).otherwise(NOT_FOUND).alias("answer"))
+
+
+def train_intents(rows: DataFrame, text: str, label: str, features: int = 4096):
+    """Logistic regression over hashed words, weighted so that every intent counts the same."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, StringIndexer
+
+    rows = rows.where(F.col(text).isNotNull() & F.col(label).isNotNull()).withColumn("_words", T.split_words(F.lower(text)))
+    counts = rows.groupBy(label).agg(F.count("*").alias("_c"))
+    total = counts.agg((F.sum("_c") / F.count("*")).alias("_t"))
+    weighted = rows.join(counts.crossJoin(F.broadcast(total)).select(label, (F.col("_t") / F.col("_c")).alias("_w")), label)  # a row for each intent
+    stages = [StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_w", maxIter=20, regParam=0.01)]
+    return Pipeline(stages=stages).fit(weighted)
+
+
+def predict_intents(model, rows: DataFrame, text: str, k: int = 3) -> DataFrame:
+    """Adds top: the k likeliest intents with their confidence, 4 digits."""
+    from pyspark.ml.functions import vector_to_array
+
+    names = model.stages[0].labels
+    scored = rows.withColumn("_words", T.split_words(F.lower(text)))
+    for stage in model.stages[1:]:
+        scored = stage.transform(scored)
+    pairs = F.transform(vector_to_array("probability"), lambda p, i: F.struct((-p).alias("n"), F.get(F.array(*[F.lit(x) for x in names]), i).alias("intent")))
+    top = F.transform(F.slice(F.array_sort(pairs), 1, k), lambda x: F.struct(x["intent"].alias("intent"), F.round(-x["n"], 4).alias("confidence")))
+    return scored.withColumn("top", top).select(*rows.columns, "top")

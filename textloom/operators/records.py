@@ -109,7 +109,7 @@ def substitute(text: Column, table: dict[str, str]) -> Column:
     """Words replaced by the table, their marks kept; null if none is."""
 
     def word(w: Column) -> Column:
-        return T.let(T.core_parts(w), lambda p: F.coalesce(F.concat(p["prefix"], T.lookup(table, F.lower(p["core"])), p["suffix"]), w))
+        return F.when(T.among(F.lower(T.core(w)), table), T.let(T.core_parts(w), lambda p: F.concat(p["prefix"], T.lookup(table, F.lower(p["core"])), p["suffix"]))).otherwise(w)
 
     return T.let(F.array_join(T.split_words(text), " "), lambda old: T.let(F.array_join(F.transform(T.split_words(text), word), " "), lambda new: F.when(new != old, new)))
 
@@ -136,7 +136,7 @@ def negation(text: Column) -> Column:
     """"nahi" before the first verb; null if there is none, or a "nahi" already."""
 
     def insert(words: Column) -> Column:
-        cores = F.transform(words, lambda w: F.lower(T.core_parts(w)["core"]))
+        cores = F.transform(words, lambda w: F.lower(T.core(w)))
 
         def at(c: Column) -> Column:
             place = F.get(F.filter(F.transform(c, lambda x, i: F.when(T.among(x, lex.VERBS), i)), lambda i: i.isNotNull()), F.lit(0))

@@ -81,6 +81,7 @@ _rows("txt18_extract_sentences", lambda: F.size(D.extract_sentences(t())))
 _rows("txt30_strip_doubled", lambda: F.md5(D.strip_doubled(t())))
 _rows("txt31_chunk_lines", lambda: F.md5(D.chunk_lines(t())))
 _rows("txt32_collapse_overprint", lambda: F.md5(F.array_join(F.transform(T.split_words(t()), D.collapse_overprint), " ")))
+_rows("txt36_clean_blob", lambda: F.md5(D.clean_blob(t())))
 _rows("txt37_key_term", lambda: D.key_term(t()))
 _rows("txt38_noun_phrases", lambda: F.array_join(D.noun_phrases(t()), "|"))
 CLEAN = "array_to_string(list_transform(" + S.tokens() + ", lambda w: w), ' ')"
@@ -173,12 +174,12 @@ def column_bounds(spark, d):
 
 @query("chk10_line_segments")
 def line_segments(spark, d):
-    return layout.line_segments(boxes(spark, d).where("i < 400"), ["doc_id"])
+    return layout.line_segments(boxes(spark, d), ["doc_id"])
 
 
 @query("chk11_blocks")
 def blocks(spark, d):
-    return layout.blocks(layout.line_segments(boxes(spark, d).where("i < 400"), ["doc_id"]), ["doc_id"], 10.0)
+    return layout.blocks(layout.line_segments(boxes(spark, d), ["doc_id"]), ["doc_id"], 10.0)
 
 
 @query("chk15_merge_headings", f"""WITH {BOXES}, h AS (SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY doc_id ORDER BY i) < 35 THEN 0 ELSE 1 END AS s FROM b WHERE size = 14), g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM h)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom import lexicons as lex
 from textloom.functions import text as T
+from textloom.functions.entries import FIGURE_REFERENCE
 from textloom.operators import records as R
 from textloom.plans import _sql as S
 from textloom.registry import load, query
@@ -147,9 +148,9 @@ def confidence_gate(spark, d):
     return load(spark, d, "events").select("event_id", F.when(F.col("value").isNull() | (F.col("value") / 100 >= 0.6), F.col("event_type")).alias("intent"))
 
 
-@query("flt14_figure_references", "SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i)\\b(fig(ure)?\\.?|table|activity)\\s*[0-9]|given (figure|diagram|table|map)')")
+@query("flt14_figure_references", f"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, {S.quoted(FIGURE_REFERENCE)})")
 def figure_references(spark, d):
-    return docs(spark, d).where(~F.col("text").rlike("(?i)\\b(fig(ure)?\\.?|table|activity)\\s*[0-9]|given (figure|diagram|table|map)")).select("doc_id")
+    return docs(spark, d).where(~F.col("text").rlike(FIGURE_REFERENCE)).select("doc_id")
 
 
 @query("flt15_page_furniture", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE regexp_matches(trim(x), '^[0-9]{1,4}$|^(?i:reprint|chapter)\\b') OR len(list_filter(regexp_split_to_array(x, '[\\s\\p{Z}]+'), lambda w: w <> '')) <= 2 GROUP BY doc_id")
@@ -188,13 +189,13 @@ def class_weights(spark, d):
     return R.class_weights(docs(spark, d), "lang", ["de", "en", "es", "fr", "hi"])
 
 
-@query("val02_compact_validation", f"""WITH e AS (SELECT doc_id, coalesce(trim(source), '') AS topic, CASE doc_id % 3 WHEN 0 THEN 'mcq' WHEN 1 THEN 'other' ELSE '' END AS intent, text AS ctx, substr(text, 1, 30) AS a, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 30) ELSE 'x' END AS a_hi FROM documents)
+@query("val02_compact_validation", f"""WITH e AS (SELECT doc_id, coalesce(trim(source), '') AS topic, CASE doc_id % 3 WHEN 0 THEN 'mcq' WHEN 1 THEN 'other' ELSE '' END AS intent, text AS ctx, text AS a, CASE WHEN doc_id % 5 = 0 THEN text ELSE 'x' END AS a_hi FROM documents)
 SELECT doc_id, CASE WHEN intent = '' THEN 1 ELSE 0 END + CASE WHEN trim(a) = '' THEN 1 ELSE 0 END + CASE WHEN trim(ctx) = '' THEN 1 ELSE 0 END + CASE WHEN trim(a_hi) = '' THEN 1 ELSE 0 END AS missing,
 CASE WHEN intent = '' OR trim(a) = '' OR trim(a_hi) = '' OR trim(ctx) = '' THEN 0 ELSE CASE WHEN intent NOT IN {S.listed(lex.INTENTS)} THEN 1 ELSE 0 END + CASE WHEN trim(a) = trim(a_hi) THEN 1 ELSE 0 END + CASE WHEN len({S.tokens('ctx')}) < 25 THEN 1 ELSE 0 END END AS other FROM e""")
 def compact_validation(spark, d):
     k = F.col("doc_id")
     intent = F.when(k % 3 == 0, "mcq").when(k % 3 == 1, "other").otherwise("")
-    a = F.substring("text", 1, 30)
+    a = F.col("text")
     found = R.compact_issues(F.lit("q"), a, F.col("text"), F.lit("q"), F.when(k % 5 == 0, a).otherwise("x"), F.col("source"), intent)
     gone = lambda x: F.startswith(x, F.lit("missing"))
     return docs(spark, d).select("doc_id", found.alias("f")).select("doc_id", F.size(F.filter("f", gone)).alias("missing"), F.size(F.filter("f", lambda x: ~gone(x))).alias("other"))
@@ -217,12 +218,12 @@ def auto_fix(spark, d):
     return load(spark, d, "conversations").select("conv_id", "turn", T.squeeze(F.col("text")).alias("text"), F.size(fixed).alias("n_labels"))
 
 
-BASE = "SELECT doc_id, 'cell membrane aur nucleus hota hai ' || array_to_string((" + S.tokens() + ")[1:8], ' ') AS t FROM documents"
+BASE = "SELECT doc_id, 'cell membrane aur nucleus hota hai ' || array_to_string(" + S.tokens() + ", ' ') AS t FROM documents"
 WORDS = "SELECT doc_id, w, i, lower(regexp_extract(w, '(?s)^([^\\p{L}\\p{N}]*)(.*?)([^\\p{L}\\p{N}]*)$', 2)) AS c, regexp_extract(w, '(?s)^([^\\p{L}\\p{N}]*)(.*?)([^\\p{L}\\p{N}]*)$', 1) AS a, regexp_extract(w, '(?s)^([^\\p{L}\\p{N}]*)(.*?)([^\\p{L}\\p{N}]*)$', 3) AS z FROM (SELECT doc_id, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT doc_id, " + S.tokens("t") + f" AS x FROM ({BASE})))"
 
 
 def base(spark, d):
-    return docs(spark, d).select("doc_id", F.concat(F.lit("cell membrane aur nucleus hota hai "), F.array_join(F.slice(T.split_words(F.col("text")), 1, 8), " ")).alias("t"))
+    return docs(spark, d).select("doc_id", F.concat(F.lit("cell membrane aur nucleus hota hai "), F.array_join(T.split_words(F.col("text")), " ")).alias("t"))
 
 
 def _substitution(table):

@@ -78,7 +78,7 @@ def reactions(spark, d):
 
 @query("gen05_numbered_questions")
 def numbered(spark, d):
-    text = F.concat(F.lit("1. "), F.regexp_replace(F.substring_index("text", "\n", 1), "\n", " "), F.lit("\n(a) yes\n(b) no\n2. Why?\n"))
+    text = F.concat(F.lit("1. "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n(a) yes\n(b) no\n2. Why?\n"))
     q = load(spark, d, "documents").select("doc_id", F.posexplode(G.numbered_questions(text)).alias("i", "q"))
     return q.select("doc_id", "i", F.length("q.question").alias("chars"), F.size("q.options").alias("options"))
 
@@ -99,6 +99,12 @@ def embed(spark, d):
     return load(spark, d, "benchmark").select("item_id", A.embed(F.col("text")).alias("embedding"))
 
 
+@query("vec13_intents")
+def intents(spark, d):
+    rows = load(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text", T.classify_intent(F.col("text")).alias("intent"))
+    return A.predict_intents(A.train_intents(rows.withColumn("label", F.concat_ws("_", "intent", (F.length("text") > 100).cast("string"))), "text", "label"), rows, "text").select("conv_id", "turn", "intent", "top")
+
+
 @query("vec12_answers")
 def answers(spark, d):
     b = load(spark, d, "benchmark").select("item_id", "text", A.embed(F.col("text")).alias("embedding"))

@@ -102,3 +102,21 @@ def write_collection(df: DataFrame, path: str, keys: list[str], force: bool = Fa
         return False
     df.write.partitionBy(*keys).mode("overwrite").parquet(path)
     return True
+
+
+def first_match(files: DataFrame, names: list[str], path: str = "path") -> DataFrame:
+    """Of files whose name is a candidate, the one of the earliest candidate (ties by path)."""
+    base = F.regexp_extract(path, "([^/]+)$", 1)
+    rank = F.array_position(F.array(*[F.lit(n) for n in names]), base)
+    return files.where(rank > 0).withColumn("_r", rank).orderBy("_r", path).limit(1).drop("_r")
+
+
+def read_or_seed(spark: SparkSession, path: str, seed: DataFrame) -> DataFrame:
+    """The file's records, or the seed rows where it is missing or holds none."""
+    rows = read_json_tolerant(spark, path, seed.schema)
+    return seed if rows.isEmpty() else rows
+
+
+def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
+    """One folder for each split."""
+    df.write.partitionBy(split).mode("overwrite").parquet(path)
