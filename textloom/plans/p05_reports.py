@@ -40,12 +40,15 @@ def dataset_statistics(spark, d):
     return load(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 2000).alias("long_docs"), F.count_distinct("source").alias("sources"), names.alias("names"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
 
 
-@query("agg03_map_cmi")
+@query("agg03_map_cmi", f"""
+WITH k AS (SELECT conv_id, turn, CASE WHEN s = '' THEN w ELSE s END AS k, {S.position_lid('s', 'i', False)} AS v, i FROM (SELECT *, {S.strip_marks('w')} AS s FROM (SELECT conv_id, turn, unnest(t) AS w, unnest(range(len(t))) AS i FROM (SELECT conv_id, turn, {S.tokens()} AS t FROM conversations)))),
+l AS (SELECT conv_id, turn, k, arg_max(v, i) AS v FROM k GROUP BY ALL), c AS (SELECT conv_id, turn, count(*) FILTER (WHERE v = 'HI') AS hi, count(*) FILTER (WHERE v = 'EN') AS en FROM l GROUP BY ALL)
+SELECT m.conv_id, m.turn, CASE WHEN hi + en > 0 THEN round((1 - greatest(hi, en)::DOUBLE / (hi + en)) * 100, 6) END AS cmi FROM conversations m LEFT JOIN c USING (conv_id, turn)""")
 def map_cmi(spark, d):
     v = F.map_values(T.label_map(F.col("text")))
     n = lambda x, t: F.size(F.filter(x, lambda y: y == t))
     cmi = T.let(v, lambda x: F.when(n(x, "HI") + n(x, "EN") > 0, T.code_mixing(n(x, "HI"), n(x, "EN"))))
-    return load(spark, d, "conversations").select("conv_id", "turn", F.round(cmi, 1).alias("cmi"))
+    return load(spark, d, "conversations").select("conv_id", "turn", F.round(cmi, 6).alias("cmi"))
 
 
 @query("agg04_confusion", f"SELECT gold, pred, count(*) AS n FROM ({PRED}) GROUP BY ALL")

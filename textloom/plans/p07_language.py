@@ -46,7 +46,7 @@ def treebank(spark, d):
     return load(spark, d, "documents").select("doc_id", F.size(N.treebank_tokens(F.col("text"))).alias("n"), F.size(T.split_words(F.col("text"))).alias("n_split"))
 
 
-@query("txt15_segments")
+@query("txt15_segments", "SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[\\s]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s, ' ')) > 15)) AS n FROM documents")
 def segments(spark, d):
     return load(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"), 15)).alias("n"))
 
@@ -64,6 +64,12 @@ def trivial(spark, d):
     return q.select("doc_id", "q.*")
 
 
+@query("ner1_phrases", "SELECT doc_id, len(list_filter(t, lambda w: lower(w) = 'the')) AS n FROM (SELECT doc_id, list_filter(list_transform(" + S.tokens() + ", lambda w: " + S.strip_marks("w") + "), lambda w: w <> '') AS t FROM documents)")
+def phrases(spark, d):
+    spans = N.gazetteer([(("the",), "CONCEPT")])(T.tokens_stripped(F.col("text")))
+    return load(spark, d, "documents").select("doc_id", F.size(spans).alias("n"))
+
+
 @query("gen02_gen03_passage_questions")
 def passage_questions(spark, d):
     p = load(spark, d, "documents").select("doc_id", F.explode(D.passages(F.col("text"))).alias("p"))
