@@ -432,3 +432,24 @@ class TestTables:
         assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == 1
         none = docs.where("false")
         assert all(stage(spark, none, DATA).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+    def test_pipeline_judges_rows_not_ids(self, spark):
+        docs = spark.read.parquet(f"{DATA}/documents.parquet")
+        m = corpus_pipeline.toxicity_machine(spark, DATA)
+        texts = [r["text"] for r in docs.where("text is not null").orderBy("doc_id").collect()]
+        bad = [m.score(m.values(sorted(toxicity.tokens(t)) or [""]).max()) >= 0.5 for t in texts]
+        toxic, clean = (next(t for t, b in zip(texts, bad, strict=True) if b)), [t for t, b in zip(texts, bad, strict=True) if not b and len(t) > 400]
+        single, seen = [], []
+        for t in clean:
+            fp = simhash_vp.fingerprint(t)
+            if all((fp ^ x).bit_count() > 12 for x in seen):
+                single.append(t)
+                seen.append(fp)
+        a, b, c, d, e, f = single[:6]
+        # Without an id: toxic, no letters, clean and single, a copy of a row with an id, two copies of each other. With one id: toxic and clean; two clean texts.
+        rows = [(None, toxic), (None, "123 456"), (None, a), (None, b), (1, b), (None, c), (None, c), (7, toxic), (7, d), (8, e), (8, f), (None, None)]
+        left = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("x"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, DATA)
+            assert left.columns == ["doc_id", "text", "_row"]
+        assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(None, a), (1, b), (None, c), (7, d), (8, e), (8, f)])
