@@ -374,6 +374,14 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(odd).count() == len(ODD) + 2
 
 
+def test_every_notice_is_found(spark):
+    from textloom.llm.license_texts import NAMES, OPENINGS
+
+    rows = [(f"{name} {k}", f"Some text\n {opening.upper() if k % 2 else opening.capitalize()}: {spelled}.\nmore") for opening in OPENINGS for name, all_ in NAMES.items() for k, spelled in enumerate(all_)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) == 217 and all(r["notices"] == r["doc_id"].split(" ")[0] for r in got)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 class TestTables:
     def test_contracts(self, spark):

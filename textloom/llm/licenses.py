@@ -3,7 +3,8 @@
 A text is made canonical: lower case, copyright lines out, punctuation and white space to
 single spaces, equivalent spellings to one. The SHA-256 of the whole canonical text is
 hash-joined to the digests of known licences. One-line notices are found the same way, line
-by line, in lines that name a licence.
+by line, in lines that have a word of an opening (OPENS). ``scan_sql`` looks at lines that
+match 'licen[cs]' only, so it misses openings such as "Released under MIT".
 
 Defined results: null and empty texts have the digest of the empty text and no licence.
 Repeated rows get equal results.
@@ -22,6 +23,8 @@ from textloom.llm.license_texts import NAMES, OPENINGS, SPELLINGS, TEXTS
 
 COPYRIGHT = "(?m)^[ \\t#*/;-]*(?:copyright[ \\t]*(?:\\(c\\)|©|:|[0-9]{4}|<|\\[)|\\(c\\)[ \\t]*[0-9]{4}|©|all rights reserved)[^\\n]*$"
 OTHER = "[^a-z0-9]+"
+#: Every opening of a notice has one of these words; other lines need no digest.
+OPENS = "licen[cs]|released|distributed"
 
 
 def canonical_text(text: str | None) -> str:
@@ -76,9 +79,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     text = F.coalesce(F.col(text_col), F.lit(""))
     notices = known_notices()
     named = F.create_map(*[F.lit(x) for kv in sorted(notices.items()) for x in kv])
-    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike("licen[cs]"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(OPENS))
     found = F.array_compact(F.transform(lines, lambda x: F.element_at(named, F.sha2(canonical(x), 256))))
-    notice = F.when(text.rlike("(?i)licen[cs]"), F.array_join(F.array_sort(F.array_distinct(found)), ",")).otherwise("")
+    notice = F.when(F.lower(text).rlike(OPENS), F.array_join(F.array_sort(F.array_distinct(found)), ",")).otherwise("")
     rows = df.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(text), 256).alias("digest"), notice.alias("notices"))
     # The table of known digests is part of this program: under a thousand rows.
     out = rows.join(F.broadcast(table(df.sparkSession, known_texts())), F.col("digest") == F.col("known"), "left")
