@@ -374,6 +374,23 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(odd).count() == len(ODD) + 2
 
 
+def test_standard_texts_and_holders(spark):
+    from textloom.llm.license_texts import STANDARD, TEXTS
+
+    rest, rows = TEXTS["MIT"].partition("\n\n")[2], []
+    for line in ("Copyright Jane Doe 2020", "Copyright Jane Doe", "(c) Jane Doe", "Copyright by Doe & Sons, Inc.", " * Copyright The Doe Authors, 2019-2021", "Copyright (c) 2020 Jane Doe", "Copyright 2020"):
+        rows.append(("MIT", f"MIT License\n\n{line}\n\n{rest}"))
+    rows += [(k, v) for k, v in TEXTS.items()] + [(k, v.replace(" copyright ", "\ncopyright ")) for k, v in TEXTS.items()]
+    for name, file in {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}.items():
+        path = f"/usr/share/common-licenses/{file}"
+        assert name in STANDARD.values()
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                rows.append((name, f.read()))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r["license_id"] == r["doc_id"] for r in got)
+
+
 def test_every_notice_is_found(spark):
     from textloom.llm.license_texts import NAMES, OPENINGS
 

@@ -4,7 +4,8 @@ A text is made canonical: lower case, copyright lines out, punctuation and white
 single spaces, equivalent spellings to one. The SHA-256 of the whole canonical text is
 hash-joined to the digests of known licences. One-line notices are found the same way, line
 by line, in lines that have a word of an opening (OPENS). ``scan_sql`` looks at lines that
-match 'licen[cs]' only, so it misses openings such as "Released under MIT".
+match 'licen[cs]' only, so it misses openings such as "Released under MIT"; nor does it
+know STANDARD and HOLDER.
 
 Defined results: null and empty texts have the digest of the empty text and no licence.
 Repeated rows get equal results.
@@ -19,9 +20,17 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.license_texts import NAMES, OPENINGS, SPELLINGS, TEXTS
+from textloom.llm.license_texts import NAMES, OPENINGS, SPELLINGS, STANDARD, TEXTS
 
 COPYRIGHT = "(?m)^[ \\t#*/;-]*(?:copyright[ \\t]*(?:\\(c\\)|©|:|[0-9]{4}|<|\\[)|\\(c\\)[ \\t]*[0-9]{4}|©|all rights reserved)[^\\n]*$"
+#: Words of prose: a line that starts with "copyright" and has one of them names no holder, unless it has a year.
+ABOUT = "notices?|holders?|owners?|licen[cs]es?|licensed|laws?|interests?|statements?|treaty|treaties|protection|rights?|ownership|infringement|disclaimers?|doctrines|permission|assignment"
+PROSE = f"{ABOUT}|the|of|to|in|is|are|be|this|that|these|which|for|any|all|with|as|under|on|or|an|a|you|your|we|it|if|not|no|may|must|shall|will|can|from|at|such|other|works?"
+#: Copyright lines that start with the holder: "Copyright Jane Doe 2020", "Copyright (by) Jane Doe", "(c) Jane Doe".
+HOLDER = (
+    f"(?m)^[ \\t#*/;-]*(?:copyright[ \\t]+(?!(?:{ABOUT})\\b)[^\\n]{{1,100}}?\\b[0-9]{{4}}\\b[^\\n]{{0,60}}"
+    f"|(?:copyright|\\(c\\))(?:[ \\t]+(?!(?:{PROSE})\\b)[^ \\t\\n;:()]{{1,40}}){{1,5}}[ \\t]*)$"
+)
 OTHER = "[^a-z0-9]+"
 #: Every opening of a notice has one of these words; other lines need no digest.
 OPENS = "licen[cs]|released|distributed"
@@ -29,7 +38,7 @@ OPENS = "licen[cs]|released|distributed"
 
 def canonical_text(text: str | None) -> str:
     """The canonical form in plain Python, for tables of known licences and for tests."""
-    s = re.sub(OTHER, " ", re.sub(COPYRIGHT, " ", (text or "").lower()))
+    s = re.sub(OTHER, " ", re.sub(HOLDER, " ", re.sub(COPYRIGHT, " ", (text or "").lower())))
     s = f" {s.strip()} "
     for old, new in SPELLINGS:
         s = s.replace(old, new)
@@ -37,7 +46,7 @@ def canonical_text(text: str | None) -> str:
 
 
 def canonical(text: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, " "), OTHER, " ")
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, " "), HOLDER, " "), OTHER, " ")
     s = F.concat(F.lit(" "), F.trim(s), F.lit(" "))
     for old, new in SPELLINGS:
         s = F.replace(s, F.lit(old), F.lit(new))
@@ -84,7 +93,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     notice = F.when(F.lower(text).rlike(OPENS), F.array_join(F.array_sort(F.array_distinct(found)), ",")).otherwise("")
     rows = df.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(text), 256).alias("digest"), notice.alias("notices"))
     # The table of known digests is part of this program: under a thousand rows.
-    out = rows.join(F.broadcast(table(df.sparkSession, known_texts())), F.col("digest") == F.col("known"), "left")
+    out = rows.join(F.broadcast(table(df.sparkSession, STANDARD | known_texts())), F.col("digest") == F.col("known"), "left")
     return out.select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"), "notices")
 
 
