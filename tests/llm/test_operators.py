@@ -214,6 +214,15 @@ def test_html():
     assert html_text.extract_text("<div>" * 3000 + "deep").strip() == "deep"
 
 
+def test_html_marks_are_whole_names():
+    text = "".join(f"<p class='{c}'>Paragraph {c} of the article, long enough to be read.</p>" for c in ("side-effects", "share-price", "search-results", "x"))
+    side = "<div class='left-sidebar'><p>Beside it.</p></div><div class='cookie-banner'>We use them.</div><div class='acme-header'>Top</div><section class='related'><article>Other</article></section>"
+    expected = [f"Paragraph {c} of the article, long enough to be read." for c in ("side-effects", "share-price", "search-results", "x")]
+    for outer in ("class='site has-sidebar'", "id='content' class='no-sidebar'", "class='with-header'", "class='sidebar'", "class='search'"):
+        assert html_text.extract_text(f"<html><body><div {outer}>{text}</div>{side}</body></html>").split("\n") == expected, outer
+    assert "Short" in html_text.extract_text("<body><div class='header'><main><p>Short</p></main></div><div><p>Something else that is longer than it.</p></div></body>")
+
+
 def test_html_operator(spark):
     rows = [(1, "u", None, "x"), (2, None, PAGE, "y"), (2, None, PAGE, "y")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

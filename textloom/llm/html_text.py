@@ -9,11 +9,13 @@ while what it takes in reaches the threshold.
 
 Defined results: null, empty and tag-less pages give the text that they show, "" if none.
 Unclosed tags end with their parent. Nothing within the article is dropped or cut but menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Menus and the like are known by their
+element or by whole class names, and never are what holds most of the page's text.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from html import unescape
@@ -33,6 +35,9 @@ MARKS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead comment comments reply replies respond disqus discussion "
     "cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations widget toolbar pagination pager tags complementary contentinfo search skip hidden".split()
 )
+#: Parts of a name that say where or in what a marked element is; parts that turn a mark round.
+PLACES = set("site page post main top bottom left right primary secondary global mobile desktop inner outer container wrapper wrap box list bar area block section content links link items item buttons button icons icon posts articles slot unit form thread body title text group row col column panel zone".split())
+TURNED = set("has no with without not".split())
 #: An opening tag ends an open element of these kinds, up to the kinds that hold them.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 HOLDS = set("table td th caption button object div section article main aside nav header footer form ul ol dl blockquote body html li dd dt figure".split())
@@ -40,17 +45,26 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(
 PART = re.compile(r"[a-z0-9]+")
 
 
+@functools.lru_cache(20_000)
+def is_mark(name: str) -> bool:
+    """Whether a class, id or role is a mark: one of MARKS, a name that ends in one, or one with places only."""
+    parts = PART.findall(name)
+    if not parts or TURNED & set(parts):
+        return False
+    return parts[-1] in MARKS or bool(MARKS & set(parts)) and all(x in MARKS or x in PLACES or x.isdigit() for x in parts)
+
+
 class Node:
-    __slots__ = ("chars", "children", "density", "dropped", "key", "link_chars", "link_tags", "parent", "tag", "tags", "total")
+    __slots__ = ("articles", "chars", "children", "density", "dropped", "free", "key", "link_chars", "link_tags", "mains", "marked", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.marked = False
         self.key = ""
         self.dropped = tag in DROPPED or bool(parent and parent.dropped)
         if attributes and not self.dropped:
-            words: set[str] = set()
             for name, value in ATTRIBUTE.findall(attributes):
                 value = value.strip("\"'").lower()
                 name = name.lower()
@@ -59,9 +73,7 @@ class Node:
                 elif name == "class":
                     self.key = value
                 if name in ("class", "id", "role"):
-                    words.update(PART.findall(value))
-            if tag not in ("body", "html", "article", "main") and words & MARKS:
-                self.dropped = True
+                    self.marked = self.marked or tag not in ("body", "html", "article", "main") and any(map(is_mark, value.split()))
 
 
 def parse(page: str) -> Node:
@@ -114,9 +126,26 @@ def parse(page: str) -> Node:
         if tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
             here = node
     text(page[at:])
+    drop_marked(root)
     return root
 
 
+def drop_marked(root: Node) -> None:
+    """Drop marked elements, but none with most of the body's characters outside links, a main element or all articles."""
+    order = elements(root)
+    if not any(n.marked for n in order):
+        return
+    for n in reversed(order):
+        inside = [c for c in n.children if isinstance(c, Node) and not c.dropped]
+        n.free = 0 if n.tag == "a" else sum(c.free for c in inside) + sum(sum(map(len, c.split())) for c in n.children if isinstance(c, str))
+        n.mains = sum(c.mains for c in inside) + (n.tag == "main")
+        n.articles = sum(c.articles for c in inside) + (n.tag == "article")
+    body = next((n for n in order if n.tag == "body"), root)
+    for n in order:
+        if n.parent and n.parent.dropped or n.marked and not (2 * n.free > body.free or n.mains or 0 < n.articles == root.articles):
+            n.dropped = True
+
+
 def elements(root: Node) -> list[Node]:
     """Kept elements, parents before children."""
     out, todo = [], [root]
