@@ -17,6 +17,8 @@ from textloom.llm.queries import oracle_sql, queries
 
 P = pytest.importorskip("public_tokenizers")
 DATA = "/root/testdata/sf0.001"
+#: Enough labels to learn from.
+LABELLED = "/root/testdata/sf0.01"
 ODD = [None, "", " \t\n", "word", "a b c d e f g h", "Zeile eins\nZeile eins\nZeile zwei", "x" * 3000, "word " * 6000, "it's we'll ''s l'amour d'été", "<|endoftext|>hi<|startoftext|>", "İΣΑΣ Ⅷ ½ 日本語", "😀👩‍👩‍👧 𝔘", "###***$$$ |||", "\x00\x1c a\x1fb", "▁▁ foo  bar   baz"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, length string, fp string"
 
@@ -417,22 +419,43 @@ def clustered(rng, n):
     return out
 
 
-@pytest.mark.parametrize("chunk, shard_rows", [(1024, 64), (8, 64), (8, 0)])
-def test_components_equal_brute_force(spark, monkeypatch, chunk, shard_rows):
+def signed(prints):
+    return np.array(prints, np.uint64).view(np.int64).tolist()
+
+
+@pytest.mark.parametrize("chunk, shard_rows, prunes", [(4096, 256, 0.75), (8, 64, 0.75), (24, 400, 1.2), (8, 4, 0.0)])
+def test_components_equal_brute_force(spark, monkeypatch, chunk, shard_rows, prunes):
     monkeypatch.setattr(simhash_vp, "CHUNK", chunk)
     monkeypatch.setattr(simhash_vp, "SHARD_ROWS", shard_rows)
-    prints = sorted(set(clustered(random.Random(chunk + shard_rows), 400)))
-    nodes = spark.createDataFrame([(i, int(np.array(p, np.uint64).view(np.int64))) for i, p in enumerate(prints)], "id long, fp long")
+    monkeypatch.setattr(simhash_vp, "PRUNES", min(prunes, 0.999))
+    prints = sorted(set(clustered(random.Random(chunk + shard_rows), 400)), key=lambda p: signed([p])[0])
+    nodes = spark.createDataFrame([(p,) for p in signed(prints)], "fp long")
     root = {r["node"]: r["root"] for r in simhash_vp.components(simhash_vp.near_links(nodes)).collect()}
-    assert [root.get(i, i) for i in range(len(prints))] == brute_components(prints)
+    want = brute_components(prints)
+    assert [root.get(p, p) for p in signed(prints)] == [signed(prints)[k] for k in want]
 
 
-def test_tree_finds_all_pairs(monkeypatch):
-    monkeypatch.setattr(simhash_vp, "LEAF", 8)
+@pytest.mark.parametrize("leaf, prunes", [(1, 0.75), (8, 0.95), (10_000, 0.75)])
+def test_tree_finds_all_pairs(monkeypatch, leaf, prunes):
+    monkeypatch.setattr(simhash_vp, "LEAF", leaf)
+    monkeypatch.setattr(simhash_vp, "PRUNES", prunes)
     rng = random.Random(12)
     fp = np.array(clustered(rng, 300) + [7] * 40, np.uint64)
-    got = {(min(a, b), max(a, b)) for i, j in simhash_vp.tree_pairs(fp, np.arange(len(fp))) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a != b}
-    assert got == {(i, j) for j in range(len(fp)) for i in range(j) if int(fp[i] ^ fp[j]).bit_count() <= 4}
+    cell = np.sort(np.array([rng.randrange(3) for _ in fp]))
+    got = {(min(a, b), max(a, b)) for i, j in simhash_vp.tree_pairs(fp, cell) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert got == {(i, j) for j in range(len(fp)) for i in range(j) if cell[i] == cell[j] and int(fp[i] ^ fp[j]).bit_count() <= 4}
+
+
+@pytest.mark.parametrize("rows", [1, 10**4, 10**7, 10**10, 10**13])
+def test_routes_meet_all_linked(rows):
+    rng = random.Random(rows)
+    masks = simhash_vp.routes_for(rows)
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a
+        for k in rng.sample(range(64), 4):
+            b ^= 1 << k
+        assert any(a & m == b & m for m in masks)
 
 
 def test_near_duplicates_operator(spark, odd, empty):
@@ -441,6 +464,8 @@ def test_near_duplicates_operator(spark, odd, empty):
     assert {r["component_id"] for r in got if r["doc_id"] in (0, 1, 2)} == {0} and all(len(r["fingerprint"]) == 16 for r in got)
     nulls = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (None, "alone")], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash_vp.near_duplicates(nulls).collect()) == [(-1, -1), (-1, 5), (5, 5)]
+    named = spark.createDataFrame([("b", "a b c d e"), ("a", "a b c d e"), ("c", "alone")], "doc_id string, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in simhash_vp.near_duplicates(named).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
 
 
 def test_licenses(spark, odd, empty):
@@ -541,10 +566,10 @@ class TestTables:
         assert all(stage(spark, none, DATA).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
     def test_pipeline_judges_rows_not_ids(self, spark):
-        docs = spark.read.parquet(f"{DATA}/documents.parquet")
-        m = corpus_pipeline.toxicity_machine(spark, DATA)
+        docs = spark.read.parquet(f"{LABELLED}/documents.parquet")
+        m = corpus_pipeline.toxicity_machine(spark, LABELLED)
         texts = [r["text"] for r in docs.where("text is not null").orderBy("doc_id").collect()]
-        bad = [m.score(m.values(sorted(toxicity.tokens(t)) or [""]).max()) >= 0.5 for t in texts]
+        bad = list(m.text_scores(texts) >= 0.5)
         toxic, clean = (next(t for t, b in zip(texts, bad, strict=True) if b)), [t for t, b in zip(texts, bad, strict=True) if not b and len(t) > 400]
         single, seen = [], []
         for t in clean:
@@ -557,6 +582,6 @@ class TestTables:
         rows = [(None, toxic), (None, "123 456"), (None, a), (None, b), (1, b), (None, c), (None, c), (7, toxic), (7, d), (8, e), (8, f), (None, None)]
         left = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("x"))
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            left = stage(spark, left, DATA)
+            left = stage(spark, left, LABELLED)
             assert left.columns == ["doc_id", "text", "_row"]
         assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(None, a), (1, b), (None, c), (7, d), (8, e), (8, f)])
