@@ -63,10 +63,11 @@ def test_bpe_equals_library(texts):
     path = P.path("word_bpe_49k.json")
     ref = Tokenizer.from_file(path)
     ids = [ref.encode(t, add_special_tokens=False).ids for t in texts]
-    mine = bpe.WordBpe(path).encode_and_decode(texts)
-    assert [np.frombuffer(a, "<u4").tolist() for a, _ in mine] == ids
-    assert [b for _, b in mine] == [ref.decode(i, skip_special_tokens=False) for i in ids]
-    assert bulk_bpe.BulkBpe(path).encode(texts) == bpe.WordBpe(path, heap=False).encode_bytes(texts) == [a for a, _ in mine]
+    mine = bpe.WordBpe(path)
+    raw = mine.encode_bytes(texts)
+    assert [np.frombuffer(a, "<u4").tolist() for a in raw] == ids
+    assert [mine.decode(i) for i in ids] == [ref.decode(i, skip_special_tokens=False) for i in ids]
+    assert bulk_bpe.BulkBpe(path).encode(texts) == bpe.WordBpe(path, heap=False).encode_bytes(texts) == raw
 
 
 def test_bpe_forgets_and_cuts(texts, monkeypatch):
@@ -159,8 +160,57 @@ def test_media_odd_bytes(spark):
     rng = random.Random(5)
     rows = [(0, None), (1, b""), (2, raw[:100]), (3, raw[:-40]), (4, rng.randbytes(400)), (5, raw), (6, raw.replace(b"stco", b"free"))]
     got = {r["id"]: r for r in media.media_columns(spark.createDataFrame(rows, "id int, codec binary"), "id", "codec").collect()}
-    assert got[5]["codec"] == "raw " and got[5]["samples"] == 10 and len(got[5]["keyframes"]) == 1
-    assert all(got[k]["samples"] == 0 for k in (0, 1, 2, 4, 6))
+    (track,) = got[5]["tracks"]
+    assert (track["handler"], track["codec"], track["samples"], len(track["keyframes"])) == ("soun", "raw ", 10, 1)
+    assert all(t["samples"] == 0 for k in (0, 1, 2, 4, 6) for t in got[k]["tracks"])
+
+
+def test_media_all_tracks_and_fragments():
+    """A sound track with 4-bit sizes in tables, a video track in two fragments, boxes nested 5,000 deep, 64-bit times."""
+    import struct
+
+    box, full, u4 = media.box, media.full, lambda *x: struct.pack(f">{len(x)}I", *x)
+    data = box(b"ftyp", b"isom", u4(0)) + box(b"mdat", b"abcdefgh")
+    head = lambda number: full(b"tkhd", struct.pack(">QQII", 0, 0, number, 0), flags=1 << 24)
+    kind = lambda what, codec: full(b"hdlr", bytes(4), what) + box(b"minf", box(b"stbl", full(b"stsd", u4(1, 16), codec, bytes(8))))
+    table = box(b"stbl", full(b"stsd", u4(1, 16), b"mp4a", bytes(8)), full(b"stz2", u4(4, 3), bytes([0x32, 0x10])), full(b"stsc", u4(2, 1, 2, 1, 2, 1, 1)), full(b"stco", u4(2, 24, 30)))
+    sound = box(b"trak", head(1), box(b"mdia", full(b"mdhd", struct.pack(">QQIQ", 0, 0, 8000, 5 << 32), flags=1 << 24), full(b"hdlr", bytes(4), b"soun"), box(b"minf", table)))
+    video = box(b"trak", head(2), box(b"mdia", full(b"mdhd", u4(0, 0, 600, 0)), kind(b"vide", b"avc1")))
+    data += box(b"moov", sound, video, box(b"mvex", full(b"trex", u4(2, 1, 20, 7, 0x10000))))
+    places, deep = [], b""
+    for _ in range(5000):
+        deep = box(b"udta", deep)
+    for flags, body in ((0x1 | 0x4, lambda at: u4(3, at, 0)), (0x1 | 0x100 | 0x200 | 0x400, lambda at: u4(2, at, 10, 4, 0x10000, 30, 5, 0))):
+        start = len(data)
+        moof = lambda at: box(b"moof", full(b"mfhd", u4(1)), box(b"traf", full(b"tfhd", u4(2), flags=0x20000), full(b"trun", body(at), flags=flags)))  # noqa: B023, E731
+        at = len(moof(0)) + 8
+        data += moof(at) + box(b"mdat", b"x" * 30)
+        places.append(start + at)
+    one, two = media.describe_all(data + deep)
+    assert (one["handler"], one["codec"], one["duration"], one["track"]["offset"].tolist(), one["track"]["length"].tolist()) == ("soun", "mp4a", 5 << 32, [24, 27, 30], [3, 2, 1])
+    a, b = places
+    assert (two["handler"], two["codec"], two["id"], two["duration"]) == ("vide", "avc1", 2, 100)
+    assert two["track"]["offset"].tolist() == [a, a + 7, a + 14, b, b + 4] and two["track"]["length"].tolist() == [7, 7, 7, 4, 5]
+    assert two["key_offset"].tolist() == [a, b + 4]
+    for cut in range(0, len(data), 7):
+        media.describe_all(data[:cut])
+
+
+def test_media_long_times(monkeypatch):
+    """Beyond 32 bits the durations stand in the boxes' second version; the payload is only told to be so long."""
+
+    class Long(bytes):
+        def __len__(self):
+            return 1 << 36
+
+    parts = []
+    monkeypatch.setattr(media, "KEY_EVERY", 1 << 24)
+    monkeypatch.setattr(media, "CHUNK_SAMPLES", 1 << 24)
+    monkeypatch.setattr(media, "box", lambda kind, *x, of=media.box: parts.append((kind, b"".join(x))) or of(kind, *x))
+    media.write_container(Long())
+    found = dict(parts)
+    assert found[b"mdhd"][:4] == found[b"mvhd"][:4] == b"\1\0\0\0" and found[b"tkhd"][:4] == b"\1\0\0\7"
+    assert int.from_bytes(found[b"mdhd"][24:32], "big") == int.from_bytes(found[b"tkhd"][28:36], "big") == 1 << 36
 
 
 def test_media_operator(odd, empty):

@@ -5,7 +5,8 @@ adjacent pair that some merge joins; the lowest is popped, skipped if stale, app
 the new neighbours' pairs are pushed. Decoding concatenates vocabulary strings.
 
 Defined results: a null or empty text has no ids and decodes to "". Repeated rows give
-equal rows. The whole text is encoded; nothing is cut.
+equal rows. The whole text is encoded; nothing is cut; a very long text costs time and memory in
+proportion to its length. Ties of merge ranks go to the leftmost pair. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -89,9 +90,9 @@ class WordBpe:
         import regex
 
         self.words_of = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+").findall
-        self.fixed = {s: (np.array([i], "<u4").tobytes(), s) for s, i in self.special.items()}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        #: What stands between white space, to (ids, decoded).
+        self.fixed = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
+        self.words: dict[str, bytes] = {}
+        #: What stands between white space, to its ids.
         self.known = dict(self.fixed)
 
     def word_symbols(self, word: str) -> list[str]:
@@ -102,8 +103,7 @@ class WordBpe:
     def learn_words(self, words: list[str]) -> None:
         if self.pairs is None:
             for w in words:
-                found = self.word_symbols(w)
-                self.words[w] = np.array([self.vocab[s] for s in found], "<u4").tobytes(), " ".join(found)
+                self.words[w] = np.array([self.vocab[s] for s in self.word_symbols(w)], "<u4").tobytes()
             return
         raw = [w.encode("utf-8") for w in words]
         length = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -116,7 +116,7 @@ class WordBpe:
         stop = (4 * np.searchsorted(row, np.arange(len(raw)), "right")).tolist()
         ids, start = sym.astype("<u4").tobytes(), 0
         for w, e in zip(words, stop, strict=True):
-            self.words[w] = ids[start:e], ""
+            self.words[w] = ids[start:e]
             start = e
 
     def learn(self, missing: set[str]) -> None:
@@ -131,11 +131,7 @@ class WordBpe:
             self.learn_words(new[k : k + 100_000])
         of = self.words.__getitem__
         for m, p in parts.items():
-            if len(p) == 1:
-                self.known[m] = of(p[0])
-            else:
-                found = [*map(of, p)]
-                self.known[m] = b"".join([a for a, _ in found]), " ".join([b for _, b in found])
+            self.known[m] = of(p[0]) if len(p) == 1 else b"".join(map(of, p))
 
     def segments(self, text: str | None) -> list[str]:
         """Special strings and, between them, what stands between white space of the normalised text."""
@@ -153,29 +149,23 @@ class WordBpe:
                     out += part.split()
         return out
 
-    def lookups(self, texts: list[str | None]) -> list[list[tuple[bytes, str]]]:
-        """(ids, decoded) of all segments of each text."""
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.segments(t) for t in texts]
         wanted = set().union(*split)
         missing = wanted.difference(self.known)
         if missing:
             self.learn(missing if len(self.known) <= CACHE_WORDS else wanted.difference(self.fixed))
         of = self.known.__getitem__
-        return [[*map(of, s)] for s in split]
-
-    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        return [b"".join([a for a, _ in found]) for found in self.lookups(texts)]
+        return [b"".join(map(of, s)) for s in split]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes([text])[0], "<u4").tolist()
 
-    def encode_and_decode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        return [(b"".join([a for a, _ in found]), " ".join([b for _, b in found if b])) for found in self.lookups(texts)]
-
     def decode(self, ids: list[int]) -> str:
-        """The vocabulary strings of the ids, space-joined: the file names no decoder."""
-        return " ".join(map(self.strings.__getitem__, ids))
+        """The vocabulary strings of the ids, space-joined: the file names no decoder. Ids without a string are left out."""
+        of = self.strings.get
+        return " ".join([s for i in ids if (s := of(i)) is not None])
 
 
 @functools.lru_cache(maxsize=2)
@@ -193,8 +183,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(ids, texts):
         bpe = word_bpe(path)
-        both = bpe.encode_and_decode(texts)
-        return {"doc_id": ids, "ids": [np.frombuffer(a, "<u4").tolist() for a, _ in both], "decoded": [b for _, b in both]}
+        found = [np.frombuffer(raw, "<u4").tolist() for raw in bpe.encode_bytes(texts)]
+        return {"doc_id": ids, "ids": found, "decoded": [*map(bpe.decode, found)]}
 
     return map_texts(df, id_col, text_col, f"doc_id {df.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string", run)
 
@@ -215,10 +205,10 @@ def encode_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(ids, texts):
         bpe = word_bpe(path)
         n, a, b = [], [], []
-        for raw, decoded in bpe.encode_and_decode(texts):
+        for raw in bpe.encode_bytes(texts):
             n.append(len(raw) // 4)
             a.append(hashlib.sha256(raw).hexdigest())
-            b.append(hashlib.sha256(decoded.encode()).hexdigest())
+            b.append(hashlib.sha256(bpe.decode(np.frombuffer(raw, "<u4").tolist()).encode()).hexdigest())
         return {"doc_id": ids, "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
     return map_texts(df, id_col, text_col, f"doc_id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", run)

@@ -99,7 +99,8 @@ class BulkBpe:
 
     def encode_slice(self, texts: list[str | None]) -> list[bytes]:
         odd = [k for k, t in enumerate(texts) if t and any(s in t for s in self.words.special)]
-        out = self.encode_plain(["" if t is None or k in set(odd) else self.normal(t) for k, t in enumerate(texts)])
+        apart = set(odd)
+        out = self.encode_plain(["" if t is None or k in apart else self.normal(t) for k, t in enumerate(texts)])
         if out is None:
             return self.words.encode_bytes(texts)
         for k, raw in zip(odd, self.words.encode_bytes([texts[k] for k in odd]) if odd else [], strict=True):
