@@ -9,8 +9,11 @@ while what it takes in reaches the threshold.
 
 Defined results: null, empty and tag-less pages give the text that they show, "" if none.
 Unclosed tags end with their parent. Nothing within the article is dropped or cut but menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Menus and the like are known by their
-element or by whole class names, and never are what holds most of the page's text.
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Menus
+and the like are known by their element or by whole class names, and never are what holds most
+of the page's text; names that may be a subject (share, social, notice) count only for what is no
+prose. Among equal sums the first element in page order holds the article. Repeated rows each give
+their row. Time and memory are in proportion to the page, at any depth. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import defaultdict
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -30,11 +34,15 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that are never part of the article's text.
 DROPPED = set("script style textarea title noscript template iframe noembed xmp head nav header footer aside form button select input option menu dialog svg canvas object audio video map search".split())
-#: Words in class, id and role that mark what is not the article.
+#: Words in class, id and role that mark what is not the article: alone, at the end of a name, or with places.
 MARKS = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead comment comments reply replies respond disqus discussion "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations widget toolbar pagination pager tags complementary contentinfo search skip hidden".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar header footer masthead comment comments reply replies disqus "
+    "cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter signup login toolbar pagination pager complementary contentinfo hidden".split()
 )
+#: Words that may as well name a subject: marks only alone or with places, and only of what is no prose.
+LOOSE = set("side aside share sharing social related recommended recommendations tags search skip notice notices alert widget respond discussion".split())
+#: Characters outside links from which on a loosely marked element is prose.
+PROSE = 400
 #: Parts of a name that say where or in what a marked element is; parts that turn a mark round.
 PLACES = set("site page post main top bottom left right primary secondary global mobile desktop inner outer container wrapper wrap box list bar area block section content links link items item buttons button icons icon posts articles slot unit form thread body title text group row col column panel zone".split())
 TURNED = set("has no with without not".split())
@@ -46,23 +54,29 @@ PART = re.compile(r"[a-z0-9]+")
 
 
 @functools.lru_cache(20_000)
-def is_mark(name: str) -> bool:
-    """Whether a class, id or role is a mark: one of MARKS, a name that ends in one, or one with places only."""
+def mark(name: str) -> int:
+    """2 if a class, id or role is a mark, 1 if a loose one, else 0."""
     parts = PART.findall(name)
     if not parts or TURNED & set(parts):
-        return False
-    return parts[-1] in MARKS or bool(MARKS & set(parts)) and all(x in MARKS or x in PLACES or x.isdigit() for x in parts)
+        return 0
+    placed = all(x in MARKS or x in LOOSE or x in PLACES or x.isdigit() for x in parts)
+    if parts[-1] in MARKS or placed and MARKS & set(parts):
+        return 2
+    return int(placed and bool(LOOSE & set(parts)))
 
 
 class Node:
-    __slots__ = ("articles", "chars", "children", "density", "dropped", "free", "key", "link_chars", "link_tags", "mains", "marked", "parent", "tag", "tags", "total")
+    __slots__ = ("articles", "chars", "children", "density", "depth", "dropped", "free", "key", "link_chars", "link_tags", "mains", "marked", "paragraph", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.marked = False
+        self.marked = 0
         self.key = ""
+        self.depth = parent.depth + 1 if parent else 0
+        #: The open paragraph that a block would end.
+        self.paragraph = self if tag == "p" else parent.paragraph if parent and tag not in HOLDS else None
         self.dropped = tag in DROPPED or bool(parent and parent.dropped)
         if attributes and not self.dropped:
             for name, value in ATTRIBUTE.findall(attributes):
@@ -73,13 +87,22 @@ class Node:
                 elif name == "class":
                     self.key = value
                 if name in ("class", "id", "role"):
-                    self.marked = self.marked or tag not in ("body", "html", "article", "main") and any(map(is_mark, value.split()))
+                    self.marked = 0 if tag in ("body", "html", "article", "main") else max(self.marked, *map(mark, value.split()), 0)
 
 
 def parse(page: str) -> Node:
     """The element tree: children are elements and strings (decoded)."""
     root = Node("#root", None)
     here, at, end = root, 0, len(page)
+    open_: defaultdict[str, list[Node]] = defaultdict(list)  # of each tag, the outermost first
+
+    def close(up: Node) -> Node:
+        """End all open elements up to this one."""
+        n = here
+        while n is not up.parent:
+            open_[n.tag].pop()
+            n = n.parent
+        return n
 
     def text(piece: str) -> None:
         if piece and not here.dropped:
@@ -98,40 +121,32 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if m[1] or m[4]:
-            up = here
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent:
-                here = up.parent
+            if open_[tag]:
+                here = close(open_[tag][-1])
             continue
         if tag in RAW:
             if at < end:
                 at = RAW[tag].search(page, at).end()
             continue
-        if tag in BLOCK:
-            up = here
-            while up.parent and up.tag not in HOLDS and up.tag != "p":
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
+        if tag in BLOCK and here.paragraph:
+            here = close(here.paragraph)
         if tag in ENDS:
             kinds, holders = ENDS[tag]
-            up = here
-            while up.parent and up.tag not in kinds and up.tag not in holders:
-                up = up.parent
-            if up.tag in kinds:
-                here = up.parent
+            near = max((open_[k][-1] for k in kinds | holders if open_[k]), key=lambda n: n.depth, default=root)
+            if near.tag in kinds:
+                here = close(near)
         node = Node(tag, here, m[3] or m[6] or "")
         here.children.append(node)
         if tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
             here = node
+            open_[tag].append(node)
     text(page[at:])
     drop_marked(root)
     return root
 
 
 def drop_marked(root: Node) -> None:
-    """Drop marked elements, but none with most of the body's characters outside links, a main element or all articles."""
+    """Drop marked elements, but none with most of the body's characters outside links, a main element or all articles, and no prose by a loose mark."""
     order = elements(root)
     if not any(n.marked for n in order):
         return
@@ -142,7 +157,7 @@ def drop_marked(root: Node) -> None:
         n.articles = sum(c.articles for c in inside) + (n.tag == "article")
     body = next((n for n in order if n.tag == "body"), root)
     for n in order:
-        if n.parent and n.parent.dropped or n.marked and not (2 * n.free > body.free or n.mains or 0 < n.articles == root.articles):
+        if n.parent and n.parent.dropped or n.marked and not (2 * n.free > body.free or n.mains or 0 < n.articles == root.articles or n.marked == 1 and n.free >= PROSE):
             n.dropped = True
 
 
