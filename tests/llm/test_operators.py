@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -253,6 +254,23 @@ def test_quality_estimate_finds_accuracies():
     assert quality_rules.estimate({}) == (0.5, [], {})
 
 
+def test_quality_kept_equals_row_wise_em(spark):
+    """Expectation-maximisation over rows instead of vote patterns, in numpy."""
+    rows = quality_rules.judge(spark.read.parquet(f"{LABELLED}/documents.parquet")).toPandas().sort_values("doc_id")
+    votes = np.array([[int(v) for v in x] for x in rows.votes])
+    good = np.where((votes == 0).any(1), 0.25, 0.95)
+    for _ in range(quality_rules.ROUNDS):
+        share = np.clip(good.mean(), 0.01, 0.99)
+        a, b = np.full(len(votes), share), np.full(len(votes), 1 - share)
+        for k in range(votes.shape[1]):
+            for mass, p in ((good, a), (1 - good, b)):
+                says = [1 + mass[votes[:, k] == v].sum() for v in (0, 1)]
+                p *= np.where(votes[:, k] == 2, 1.0, np.where(votes[:, k] == 1, says[1], says[0]) / sum(says))
+        good = a / (a + b)
+    assert np.abs(good - rows.posterior).max() < 1e-6
+    assert (rows.kept == (~rows.base_failed & (good >= quality_rules.KEEP_AT))).all()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="ad">Buy now this thing today.</div>
 <article><h1>Title of it.</h1><p><b>First line of the article, long enough to be read.<br><p>Second   line &amp; more &eacute; text, with <i>in</i>line <a href="x">link</a> marks.</p><p>Short.</p><form><input value="x"> Send</form>
 <table><tr><td>cell one<td>cell two</table></article><div id="comments"><p>A reader says something here at length, really at length, more than the article.</p></div><aside><p>Related things and others.</p></aside><footer>&copy; example</footer></body></html>"""
@@ -275,6 +293,66 @@ def test_html_marks_are_whole_names():
     assert "Short" in html_text.extract_text("<body><div class='header'><main><p>Short</p></main></div><div><p>Something else that is longer than it.</p></div></body>")
 
 
+def test_html_loose_marks_and_depth():
+    text = "".join(f"<p>Paragraph {i} of the article, long enough to be read and to count.</p>" for i in range(8))
+    for name in ("class='social-science'", "class='notice-board-history'", "id='tags'", "class='side-by-side'", "class='ad-hoc'", "class='price-share'", "class='social'"):
+        page = f"<html><body><article><p>Beginning of it all, long enough to be read.</p><div {name}>{text}</div></article><div class='share'>Share</div></body></html>"
+        assert html_text.extract_text(page).count("Paragraph") == 8 and "Share" not in html_text.extract_text(page), name
+        assert html_text.extract_text(f"<body><div {name}>{text}</div></body>").count("Paragraph") == 8, name
+    for page in ("<b>" * 100_000 + "deep" + "</i>" * 100_000, "<p>" + "<b><i>" * 50_000 + "deep", ("<b>" * 50 + "<div>x</div>") * 2000, "<table><tr><td>" * 30_000 + "deep", "<li><b>" * 50_000 + "deep", "<p><button>" + "<b>" * 50_000 + "<hr>" * 50_000):
+        began = time.perf_counter()
+        html_text.extract_text(page)
+        assert time.perf_counter() - began < 10
+
+
+def test_html_densities_equal_independent_ones():
+    """Counts, densities and sums of random trees, by recursion over the tree that the page was made from."""
+    import math
+
+    rng = random.Random(11)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
+        kids += ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(0, 2))]
+        rng.shuffle(kids)
+        return rng.choice(["div", "section", "a", "b", "div"]), kids
+
+    def page(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(page, node[1]))}</{node[0]}>"
+
+    def counted(node):
+        """characters, tags, link characters, link tags; and the elements in page order with these."""
+        found, order = [0, 0, 0, 0], []
+        for c in node[1]:
+            if isinstance(c, str):
+                found[0] += len(c) - c.count(" ")
+                continue
+            inner, below = counted(c)
+            found = [found[0] + inner[0], found[1] + 1 + inner[1], found[2] + inner[2], found[3] + inner[3] + (c[0] == "a")]
+            order += below
+        if node[0] == "a":
+            found[2] = found[0]
+        return found, [(node, found), *order]
+
+    for _ in range(60):
+        body = ("body", [tree(4) for _ in range(3)])
+        (chars, _, links, _), order = counted(body)
+
+        def density(c, t, lc, lt, chars=chars, links=links):
+            if not c:
+                return 0.0
+            ratio = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+            base = math.log(c / max(c - lc, 1) * lc + (links / chars if chars else 0.0) * c + math.e)
+            return c / max(t, 1) * (math.log(ratio, base) if ratio > 1 and base > 1 else math.log(max(ratio, 1.0)))
+
+        of = {id(node): density(*x) for node, x in order}
+        sums = [sum(of[id(c)] for c in node[1] if not isinstance(c, str)) or of[id(node)] * 0.999 for node, _ in order]
+        got = [n for n in html_text.weigh(html_text.parse("<html>" + page(body) + "</html>")) if n.tag not in ("#root", "html")]
+        assert [(n.chars, n.tags, n.link_chars, n.link_tags) for n in got] == [tuple(x) for _, x in order]
+        assert [n.density for n in got] == pytest.approx([of[id(node)] for node, _ in order])
+        assert [n.total for n in got] == pytest.approx(sums)
+
+
 def test_html_operator(spark):
     rows = [(1, "u", None, "x"), (2, None, PAGE, "y"), (2, None, PAGE, "y")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,27 +25,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set."""
+    """The shared folder that the session names. Only a local master may do without: it gets a temporary one."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = Path(tempfile.mkdtemp(prefix="textloom-")).as_uri()
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared checkpoint folder and read back.
 
-    Lost executors lose nothing: the rows are in the shared store.
+    Lost executors lose nothing: the rows are in the shared store. The table goes when the
+    driver ends, or before by ``discard``.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/textloom/{uuid.uuid4().hex}"
+    fs, where = hadoop_path(spark, path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for t in tables:
+        fs, where = hadoop_path(t.sparkSession, t._table)
+        fs.delete(where, True)
 
 
 def slices(ids: list, texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[list, list]]:
@@ -58,6 +78,18 @@ def slices(ids: list, texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[li
         yield ids[start:], texts[start:]
 
 
+def batch_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[tuple[list, list]]:
+    """The first two columns of an Arrow batch as Python lists, of at most ``most`` bytes (one row at least) at a time."""
+    ids, texts = batch.column(0), batch.column(1)
+    each = pc.multiply(pc.list_value_length(texts), 8) if pa.types.is_list(texts.type) else pc.binary_length(texts)
+    total = np.cumsum(pc.fill_null(each, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(total):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, "right")))
+        yield ids.slice(start, end - start).to_pylist(), texts.slice(start, end - start).to_pylist()
+        start = end
+
+
 def arrow_schema(spark_schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -78,7 +110,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, fn: Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in slices(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, texts in batch_slices(b):
                 cols = fn(ids, texts)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
 

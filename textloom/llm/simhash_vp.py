@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_texts, materialize, ship_package
+from textloom.llm.common import discard, map_texts, materialize, ship_package
 
 RADIUS = 4
 SHINGLE = 4
@@ -257,15 +257,20 @@ def components(links: DataFrame) -> DataFrame:
         least = materialize(least)
         open_ = least.where("n > 1").isEmpty() and links.join(least, links["v"] == least["u"], "left_semi").isEmpty()
         if open_:
+            discard(links)
             return least.select(F.col("u").alias("node"), F.col("m").alias("root"))
         a, b = links.alias("a"), least.select(F.col("u").alias("k"), "m").alias("b")
         joined = a.join(b, F.col("a.u") == F.col("b.k")).select("u", "v", "m")
         small = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        links = materialize(small)
+        starred = materialize(small)
+        discard(links, least)
+        links = starred
         least = links.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         large = links.join(least, links["v"] == least["k"], "left").select("u", F.coalesce("m", "v").alias("v"))
         kept = least.select(F.col("k").alias("u"), F.col("m").alias("v"))
-        links = materialize(large.union(kept).where("u <> v").distinct())
+        both = materialize(large.union(kept).where("u <> v").distinct())
+        discard(links)
+        links = both
 
 
 def join_spread(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
