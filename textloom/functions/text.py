@@ -25,6 +25,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def first_of_each(values: Column, key: Callable[[Column], Column]) -> Column:
+    """The first value of each key, in place; sorted instead of compared pair by pair."""
+    keyed = F.array_sort(F.transform(values, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = let(keyed, lambda p: F.filter(p, lambda x, i: (i == 0) | ~x["k"].eqNullSafe(F.get(p, i - 1)["k"])))
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda x: x["x"])
+
+
+def held_by(text: Column, rows: Column, field: str) -> Column:
+    """Those of an array of structs whose field the text in lower case contains."""
+    return let(F.lower(text), lambda t: F.filter(rows, lambda r: F.contains(t, r[field])))
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The table's value of a key, else null."""
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
@@ -139,9 +151,10 @@ def position_language(word: Column, position: Column, capitals: bool = True) ->
 
 def label_map(text: Column) -> Column:
     """Stripped token (the raw one if nothing is left) to tag; the last of equal tokens counts."""
-    pairs = F.transform(split_words(text), lambda w, i: F.struct(F.when(strip_marks(w) == "", w).otherwise(strip_marks(w)).alias("key"), position_language(w, i, capitals=False).alias("value")))
-    last = lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(let(pairs, last))
+    key = lambda w: let(strip_marks(w), lambda x: F.when(x == "", w).otherwise(x))
+    pairs = F.array_sort(F.transform(split_words(text), lambda w, i: F.struct(key(w).alias("key"), i.alias("i"), position_language(w, i, capitals=False).alias("value"))))
+    last = let(pairs, lambda p: F.filter(p, lambda x, i: ~x["key"].eqNullSafe(F.get(p, i + 1)["key"])))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))))
 
 
 def normalize_spelling(text: Column) -> Column:
@@ -176,9 +189,12 @@ def stop_reasons(tokens: Column) -> Column:
     """Each token with PUNCT, EN_STOP, HI_STOP or null (kept)."""
 
     def reason(w: Column) -> Column:
-        tag, low = word_language(w), F.lower(w)
+        low = F.lower(w)
         english = among(low, (lex.ENGLISH_STOPS | lex.DOMAIN_STOPS) - lex.PROTECTED)
-        why = F.when(~w.rlike("^[\\p{L}\\p{N}]+$"), "PUNCT").when((tag == "EN") & english, "EN_STOP").when((tag == "HI") & among(low, lex.HINDI_STOPS), "HI_STOP")
+        hindi = among(low, lex.HINDI_STOPS)
+        # Only words that some list holds are asked for their language.
+        listed = F.when(english | hindi, let(word_language(w), lambda tag: F.when((tag == "EN") & english, "EN_STOP").when((tag == "HI") & hindi, "HI_STOP")))
+        why = F.when(~w.rlike("^[\\p{L}\\p{N}]+$"), "PUNCT").otherwise(listed)
         return F.struct(w.alias("token"), why.alias("reason"))
 
     return F.transform(tokens, reason)

@@ -114,6 +114,10 @@ def substitute(text: Column, table: dict[str, str]) -> Column:
     return T.let(F.array_join(T.split_words(text), " "), lambda old: T.let(F.array_join(F.transform(T.split_words(text), word), " "), lambda new: F.when(new != old, new)))
 
 
+def has_any(text: Column, table: dict[str, str]) -> Column:
+    return F.exists(T.split_words(text), lambda w: T.among(F.lower(T.core(w)), table))
+
+
 def density_shift(text: Column) -> Column:
     return substitute(text, lex.HINDI_EQUIVALENTS)
 
@@ -148,11 +152,49 @@ def negation(text: Column) -> Column:
     return T.let(T.split_words(text), insert)
 
 
-VARIANTS = {"hindi_density": density_shift, "connector_swap": connector_swap, "formality_shift": formality_shift, "question_form": question_form, "negation": negation}
+def no_sir(text: Column) -> Column:
+    return ~F.startswith(F.lower(F.trim(text)), F.lit("sir"))
+
+
+def can_negate(text: Column) -> Column:
+    cores = F.transform(T.split_words(text), lambda w: F.lower(T.core(w)))
+    return T.let(cores, lambda c: F.exists(c, lambda x: T.among(x, lex.VERBS)) & ~F.array_contains(c, "nahi"))
+
+
+#: Each variant, and whether it changes a text, which is cheaper to tell than to make it.
+VARIANTS = {
+    "hindi_density": (density_shift, lambda t: has_any(t, lex.HINDI_EQUIVALENTS)),
+    "connector_swap": (connector_swap, lambda t: has_any(t, lex.CONNECTORS)),
+    "formality_shift": (formality_shift, no_sir),
+    "question_form": (question_form, no_sir),
+    "negation": (negation, can_negate),
+}
 
 
 def augment(rows: DataFrame, id_col: str, text_col: str, most: int = 3) -> DataFrame:
-    """id (with a letter), augmented_from, augmentation_type, text: the first variants that change a text."""
-    options = F.array(*[F.struct(F.lit(k).alias("kind"), f(F.col(text_col)).alias("text")) for k, f in VARIANTS.items()])
-    some = rows.select(id_col, F.posexplode(F.slice(F.filter(options, lambda x: x["text"].isNotNull()), 1, most)).alias("i", "v"))
-    return some.select(F.concat(F.col(id_col).cast("string"), F.lit("_"), F.substring(F.lit("abcdefghij"), F.col("i") + 1, F.lit(1))).alias("id"), F.col(id_col).alias("augmented_from"), F.col("v.kind").alias("augmentation_type"), F.col("v.text").alias("text"))
+    """id (with a letter), augmented_from, augmentation_type, text: the first variants that change a text. Only these are made, and only if asked for."""
+    kinds = F.array_compact(F.array(*[F.when(applies(F.col(text_col)), F.lit(k)) for k, (_, applies) in VARIANTS.items()]))
+    some = rows.select(id_col, text_col, F.posexplode(F.slice(kinds, 1, most)).alias("i", "kind"))
+    text = F.lit(None).cast("string")
+    for k, (make, _) in VARIANTS.items():
+        text = F.when(F.col("kind") == k, make(F.col(text_col))).otherwise(text)
+    return some.select(F.concat(F.col(id_col).cast("string"), F.lit("_"), F.substring(F.lit("abcdefghij"), F.col("i") + 1, F.lit(1))).alias("id"), F.col(id_col).alias("augmented_from"), F.col("kind").alias("augmentation_type"), text.alias("text"))
+
+
+def split_ranked(rows: DataFrame, key: str, share: float = 0.8) -> DataFrame:
+    """split: train for the first max(1, int(share * rows)) rows by the hash of their key, dev for the rest.
+
+    The cut is found by counting rows of hash buckets, so no task sorts all rows: only the bucket that holds the cut is ranked.
+    """
+    hashed = rows.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, 4))
+    counts = hashed.groupBy("_b").count().orderBy("_b").collect()  # 65,536 rows at most
+    cut, before, at = max(1, int(share * sum(r["count"] for r in counts))), 0, ""
+    for r in counts:
+        if before + r["count"] >= cut:
+            at = r["_b"]
+            break
+        before += r["count"]
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", F.col(key)))
+    ranked = hashed.where(F.col("_b") == at).withColumn("split", F.when(rank <= cut - before, "train").otherwise("dev"))
+    sure = hashed.where(F.col("_b") != at).withColumn("split", F.when(F.col("_b") < at, "train").otherwise("dev"))
+    return sure.unionByName(ranked).drop("_h", "_b")

@@ -103,3 +103,9 @@ def text_scores(rows: DataFrame, pred: str, gold: str) -> DataFrame:
 
 def perplexity(loss: Column) -> Column:
     return F.exp(F.avg(loss))
+
+
+def token_accuracy(pred: Column, gold: Column) -> Column:
+    """Share of the gold tokens that the prediction has at the same place; null without gold tokens."""
+    same = F.size(F.filter(F.zip_with(gold, F.slice(pred, F.lit(1), F.size(gold)), lambda a, b: a.eqNullSafe(b) & a.isNotNull()), lambda x: x))
+    return F.try_divide(same, F.size(gold))

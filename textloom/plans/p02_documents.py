@@ -106,9 +106,8 @@ def collapse_glyphs(spark, d):
     return words.withColumn("c", D.collapse_glyphs(F.col("w"))).where("c <> w")
 
 
-VOWELS = "length(regexp_replace(lower(s), '[^aeiou]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(s, '[^\\p{L}]', '', 'g')), 0)"
 NOISE = f"""length(s) < 10 OR (s = upper(s) AND s <> lower(s) AND length(s) < 30) OR (len({S.tokens('s')}) >= 2 AND len(list_filter({S.tokens('s')}, lambda w: length(w) > 2)) = 0 AND length(s) <= 20) OR regexp_matches(s, '{D.CONSONANTS}')
-OR (len({S.tokens('s')}) <= 8 AND coalesce({VOWELS.replace('lower(s)', 'lower(reverse(s))')}, 0) BETWEEN 0.22 AND 0.5 AND coalesce({VOWELS}, 0) < 0.18) OR length(regexp_replace(s, '[\\x00-\\x7F]', '', 'g')) > length(s) * 0.3"""
+OR regexp_matches(s, '{D.MARGIN}') OR length(regexp_replace(s, '[\\x00-\\x7F]', '', 'g')) > length(s) * 0.3"""
 
 
 @query("flt13_noise_lines", f"SELECT doc_id, count(*) FILTER (WHERE {NOISE}) AS noise, count(*) AS lines FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS s FROM documents) GROUP BY doc_id")

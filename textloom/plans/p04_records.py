@@ -23,9 +23,9 @@ def hash_split(spark, d):
     return docs(spark, d).select("doc_id", R.is_held_out(F.col("doc_id").cast("string")).alias("held_out"))
 
 
-@query("spl02_train_dev", f"SELECT doc_id, CASE WHEN {MD5.format(k='doc_id::VARCHAR')} < 8000 THEN 'train' ELSE 'dev' END AS split FROM documents")
+@query("spl02_train_dev", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) <= greatest(1, (SELECT floor(0.8 * count(*)) FROM documents)) THEN 'train' ELSE 'dev' END AS split FROM documents")
 def train_dev(spark, d):
-    return R.split_by_hash(docs(spark, d).select("doc_id", F.col("doc_id").cast("string").alias("k")), "k").select("doc_id", "split")
+    return R.split_ranked(docs(spark, d).select("doc_id"), "doc_id")
 
 
 @query("spl03_silver_to_train", f"SELECT l.label_source, split, count(*) AS n FROM (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'silver' ELSE 'gold' END AS label_source, CASE WHEN l.doc_id IS NULL OR {MD5.format(k='d.doc_id::VARCHAR')} < 8000 THEN 'train' ELSE 'dev' END AS split FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)) l GROUP BY ALL")
@@ -257,15 +257,6 @@ def replace_append(spark, d):
     return replace_part(old, new, "chapter").select("chapter", "ordinal", "doc_id")
 
 
-@query("gen08_chapter_quota", "SELECT source, kind, count(*) AS n FROM (SELECT source, CASE WHEN r <= 75 THEN 'statement' WHEN r <= 90 THEN 'query' WHEN r <= 95 THEN 'gec' END AS kind FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)) WHERE kind IS NOT NULL GROUP BY ALL")
-def chapter_quota(spark, d):
-    from pyspark.sql import Window
-
-    r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = docs(spark, d).select("source", r.alias("r")).where("r <= 95")
-    return rows.groupBy("source", F.when(F.col("r") <= 75, "statement").when(F.col("r") <= 90, "query").otherwise("gec").alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query("gen09_entry_ids", "SELECT doc_id, format('{}_{:04d}', source, row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS id FROM documents")
 def entry_ids(spark, d):
     from textloom.sources.stores import number_within

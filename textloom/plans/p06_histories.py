@@ -72,9 +72,10 @@ def runs(spark, d):
     return rows.groupBy("conv_id", "g", "role").agg(F.count("*").alias("n"))
 
 
-@query("win07_cyclic_repeat", "SELECT r_regionkey, k FROM region, range(3) t(k) ORDER BY k, r_regionkey LIMIT 12")
+@query("win07_cyclic_repeat", "WITH n AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation) SELECT n_regionkey, n_nationkey, k * n + pos AS place FROM n, range(12) t(k) WHERE k * n + pos < 12")
 def cyclic_repeat(spark, d):
-    return load(spark, d, "region").select("r_regionkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).orderBy("k", "r_regionkey").limit(12)
+    """Each region's nations again and again, up to 12 rows a region, which is the feature."""
+    return C.cyclic_repeat(load(spark, d, "nation").select("n_regionkey", "n_nationkey"), "n_regionkey", "n_nationkey", 12).select("n_regionkey", "n_nationkey", "place")
 
 
 @query("win08_positional_slices", "SELECT part, count(*) AS n FROM (SELECT CASE WHEN r <= 2 THEN 'opening' WHEN r <= 4 THEN 'middle' ELSE 'rest' END AS part FROM (SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)) GROUP BY part")
@@ -101,9 +102,9 @@ def longest_first(spark, d):
     return load(spark, d, "benchmark").select("item_id", F.array_join(ordered, " ").alias("ordered"))
 
 
-@query("srt01_lexicographic", "SELECT doc_id::VARCHAR AS id FROM documents ORDER BY id LIMIT 50")
+@query("srt01_lexicographic", "SELECT coalesce(doc_id::VARCHAR, '') AS id FROM documents ORDER BY id")
 def lexicographic(spark, d):
-    return load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id")).orderBy("id").limit(50)
+    return load(spark, d, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")).orderBy("id")
 
 
 @query("top01_top_k", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")
@@ -147,8 +148,8 @@ def cascade(spark, d):
 
 @query("jon07_containment", "SELECT n_name, count(*) AS n FROM nation JOIN documents ON contains(lower(text), lower(n_name)) GROUP BY n_name")
 def containment(spark, d):
-    n = load(spark, d, "nation").select("n_name")  # a dimension of 25 rows
-    return load(spark, d, "documents").select(F.lower("text").alias("t")).join(F.broadcast(n), F.contains("t", F.lower("n_name"))).groupBy("n_name").agg(F.count("*").alias("n"))
+    held = C.containing(load(spark, d, "documents"), "text", load(spark, d, "nation"), "n_name")
+    return held.groupBy("n_name").agg(F.count("*").alias("n"))
 
 
 @query("db01_upsert", f"SELECT conv_id, CASE WHEN conv_id < 20 THEN 99 ELSE user_id END AS user_id FROM ({CHATS}) UNION ALL SELECT 1000000, 99")

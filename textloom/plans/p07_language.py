@@ -58,24 +58,12 @@ def gazetteer(spark, d):
     return s.groupBy("doc_id", "s.label").agg(F.count("*").alias("n"))
 
 
-@query("gen01_trivial_questions")
-def trivial(spark, d):
-    q = load(spark, d, "documents").select("doc_id", F.explode(G.trivial_questions(D.split_sentences(F.col("text")))).alias("q"))
-    return q.select("doc_id", "q.*")
-
-
 @query("ner1_phrases", "SELECT doc_id, len(list_filter(t, lambda w: lower(w) = 'the')) AS n FROM (SELECT doc_id, list_filter(list_transform(" + S.tokens() + ", lambda w: " + S.strip_marks("w") + "), lambda w: w <> '') AS t FROM documents)")
 def phrases(spark, d):
     spans = N.gazetteer([(("the",), "CONCEPT")])(T.tokens_stripped(F.col("text")))
     return load(spark, d, "documents").select("doc_id", F.size(spans).alias("n"))
 
 
-@query("gen02_gen03_passage_questions")
-def passage_questions(spark, d):
-    p = load(spark, d, "documents").select("doc_id", F.explode(D.passages(F.col("text"))).alias("p"))
-    return G.from_templates(p, "doc_id", "p").select("doc_id", "cue", "intent", "question")
-
-
 @query("gen04_reactions", "SELECT doc_id, intent, question FROM documents JOIN (VALUES ('license', 'definition', 'What is a license?'), ('und', 'short_answer', 'Which language is this?')) b(trigger, intent, question) ON contains(lower(text), trigger)")
 def reactions(spark, d):
     bank = spark.createDataFrame([("license", "definition", "What is a license?"), ("und", "short_answer", "Which language is this?")], "trigger string, intent string, question string")
@@ -94,12 +82,6 @@ def best_window(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(G.best_window(F.substring("text", 1, 60), D.split_sentences(F.col("text")))).alias("window_md5"))
 
 
-@query("gen06_hash_pick", f"SELECT count(*) AS n FROM documents WHERE len({S.tokens()}) >= 8")
-def hash_pick(spark, d):
-    q = G.pick(["Explain: ", "Describe: ", "What about: "], F.col("doc_id"))
-    return load(spark, d, "documents").where(F.size(T.split_words(F.col("text"))) >= 8).select(q.alias("q")).where("q is not null").agg(F.count("*").alias("n"))
-
-
 @query("vec01_embed")
 def embed(spark, d):
     return load(spark, d, "benchmark").select("item_id", A.embed(F.col("text")).alias("embedding"))
@@ -116,9 +98,3 @@ def answers(spark, d):
     b = load(spark, d, "benchmark").select("item_id", "text", A.embed(F.col("text")).alias("embedding"))
     q = load(spark, d, "conversations").where("role = 'user' and conv_id % 50 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("q_id"), F.col("text").alias("question"), A.embed(F.col("text")).alias("embedding"))
     return A.answer(q, b.withColumnRenamed("item_id", "id"))
-
-
-@query("val06_enrich_distinct", "SELECT source, count(*) AS n, min(length(source)) AS v FROM documents GROUP BY source")
-def enrich_distinct(spark, d):
-    rows = A.enrich_distinct(load(spark, d, "documents").select("source"), "source", "v", F.length)
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.min("v").alias("v"))

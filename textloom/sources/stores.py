@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,36 +15,36 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def read_json_tolerant(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """As read_json_array; missing paths and corrupt files give no rows."""
+def read_json_tolerant(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
+    """As read_json_array (or, with lines, one record a line); missing paths and corrupt files or lines give no rows."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     path_ = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not path_.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path_):
         return spark.createDataFrame([], kind)
-    return spark.read.schema(kind).option("mode", "DROPMALFORMED").json(path, multiLine=True)
+    return spark.read.schema(kind).option("mode", "DROPMALFORMED").json(path, multiLine=not lines)
 
 
 def read_json_cut(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Complete top-level objects of JSON arrays that may end in the middle."""
 
     def objects(batches):
+        import re
+
         import pandas as pd
 
+        # Strings are passed over whole; what is left are braces.
+        mark = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\Z)|[{}]', re.DOTALL)
         for b in batches:
             out = []
             for text in b["value"]:
-                depth, start, quoted, escaped = 0, 0, False, False
-                for i, c in enumerate(text):
-                    if quoted:
-                        quoted, escaped = not (c == '"' and not escaped), c == "\\" and not escaped
-                    elif c == '"':
-                        quoted = True
-                    elif c == "{":
-                        start, depth = (i, 1) if not depth else (start, depth + 1)
-                    elif c == "}" and depth:
+                depth = start = 0
+                for m in mark.finditer(text):
+                    if m[0] == "{":
+                        start, depth = (m.start(), 1) if not depth else (start, depth + 1)
+                    elif m[0] == "}" and depth:
                         depth -= 1
                         if not depth:
-                            out.append(text[start : i + 1])
+                            out.append(text[start : m.end()])
             yield pd.DataFrame({"value": out})
 
     whole = spark.read.text(path, wholetext=True)
@@ -51,9 +52,10 @@ def read_json_cut(spark: SparkSession, path: str, schema: StructType | str) -> D
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """path, text (and part: the pattern's first group in the path) of whole files."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return rows.withColumn("part", F.regexp_extract("path", pattern, 1)) if pattern else rows
+    """path, text (and part: the pattern's first group in the path) of whole files, by path. Bytes that are no UTF-8 are left out."""
+    rows = spark.read.format("binaryFile").load(path).select("path", F.try_validate_utf8("content").alias("text"), "content")
+    rows = rows.withColumn("text", F.coalesce("text", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")))).drop("content")
+    return (rows.withColumn("part", F.regexp_extract("path", pattern, 1)) if pattern else rows).orderBy("path")
 
 
 def parse_sse(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
@@ -61,9 +63,39 @@ def parse_sse(lines: DataFrame, schema: str, column: str = "value") -> DataFrame
     return lines.where(F.startswith(F.col(column), F.lit("data: "))).select(F.from_json(F.substring(F.col(column), F.lit(7), F.length(column)), schema).alias("e")).select("e.*")
 
 
+#: A key's rows that one task may sort to number them.
+HOT_ROWS = 1_000_000
+
+
 def number_within(rows: DataFrame, key: str, order: str, name: str, start: int | Column = 0) -> DataFrame:
-    """Numbers from start + 1 in each key's order."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)) + start)
+    """Numbers from start + 1 in each key's order.
+
+    Keys with more than HOT_ROWS rows are cut into ranges of the order, at values of a sample that the driver holds
+    (20,000 at most); ranges are numbered side by side, each from the count of those before it.
+    """
+    hot = {r[key]: r["count"] for r in rows.groupBy(key).count().where(F.col("count") > HOT_ROWS).collect()}
+    if not hot:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)) + start)
+    is_hot = reduce(lambda a, b: a | b, [F.col(key).eqNullSafe(F.lit(k)) for k in hot])
+    seen: dict = {k: [] for k in hot}
+    for r in rows.where(is_hot).select(key, order).sample(min(1.0, 10_000 / sum(hot.values())), seed=7).limit(20_000).collect():
+        if r[order] is not None:
+            seen[r[key]].append(r[order])
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, order)}
+    cuts = []
+    for k, values in seen.items():
+        values.sort()
+        parts = -(-hot[k] // HOT_ROWS) * 2
+        cuts.append((k, sorted({values[len(values) * i // parts] for i in range(1, parts)} if values else set())))
+    bounds = rows.sparkSession.createDataFrame(cuts, f"_k {kinds[key]}, _cuts array<{kinds[order]}>")
+    place = F.size(F.filter(F.coalesce("_cuts", F.array().cast(f"array<{kinds[order]}>")), lambda c: c < F.col(order)))
+    placed = rows.join(F.broadcast(bounds), F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("_part", place).drop("_k", "_cuts")
+    sizes = placed.where(is_hot).groupBy(key, "_part").count()
+    ahead = F.sum("count").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # ranges, not rows
+    sizes = sizes.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    numbered = placed.join(F.broadcast(sizes), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")), "left")
+    number = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)) + F.coalesce("_ahead", F.lit(0)) + start
+    return numbered.withColumn(name, number.cast("int")).drop("_k", "_p", "_part", "_ahead")
 
 
 def replace_part(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -79,19 +111,49 @@ def append_part(rows: DataFrame, new: DataFrame, key: str, order: str, ordinal:
 
 
 def write_swapped(df: DataFrame, path: str) -> None:
-    """Write beside the target, then put it in the target's place by renames."""
+    """Write a whole new version beside the others, then name it as the current one.
+
+    path/_current holds the name of the version that ``read_swapped`` reads. It is replaced by one rename
+    that overwrites, so readers find the old version or the new one, never none; the version before stays for readers
+    that began with it and goes with the next write.
+    """
     spark = df.sparkSession
-    side = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(side)
+    path = path.rstrip("/")
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
     hadoop = spark._jvm.org.apache.hadoop.fs
-    new, old, gone = hadoop.Path(side), hadoop.Path(path), hadoop.Path(side + ".old")
-    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.rename(old, gone)
-    if not fs.rename(new, old):
-        fs.rename(gone, old)
-        raise OSError(f"{path} could not be replaced")
-    fs.delete(gone, True)
+    folder = hadoop.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = folder.getFileSystem(conf)
+    before = current_version(spark, path)
+    side, name = hadoop.Path(f"{path}/_{version}"), hadoop.Path(f"{path}/_current")
+    out = fs.create(side, True)
+    out.write(bytearray(version, "ascii"))
+    out.close()
+    context = hadoop.FileContext.getFileContext(folder.toUri(), conf) if folder.toUri().getScheme() else hadoop.FileContext.getFileContext(conf)
+    overwrite = spark._jvm.java.lang.reflect.Array.newInstance(spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+    overwrite[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    context.rename(side, name, overwrite)
+    for status in fs.listStatus(folder):
+        if status.isDirectory() and status.getPath().getName() not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    name = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_current")
+    fs = name.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(name):
+        return None
+    held = fs.open(name)
+    try:
+        return bytes(held.readAllBytes()).decode("ascii")
+    finally:
+        held.close()
+
+
+def read_swapped(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table of ``write_swapped``."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{current_version(spark, path)}")
 
 
 def write_collection(df: DataFrame, path: str, keys: list[str], force: bool = False) -> bool:
@@ -117,6 +179,44 @@ def read_or_seed(spark: SparkSession, path: str, seed: DataFrame) -> DataFrame:
     return seed if rows.isEmpty() else rows
 
 
-def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
-    """One folder for each split."""
+def write_splits(df: DataFrame, path: str, split: str = "split", labels: str | None = None) -> None:
+    """One folder for each split; with a label column also path/label_map: label, id (by name, from 0)."""
     df.write.partitionBy(split).mode("overwrite").parquet(path)
+    if labels:
+        label_map(df, labels).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/_label_map")
+
+
+#: Labels that a map may have.
+MOST_LABELS = 10_000
+
+
+def label_map(df: DataFrame, column: str) -> DataFrame:
+    """label, id: the distinct labels numbered by name."""
+    names = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(MOST_LABELS + 1).collect()]
+    if len(names) > MOST_LABELS:
+        raise ValueError(f"{column} has more than {MOST_LABELS} labels")
+    return df.sparkSession.createDataFrame([(n, k) for k, n in enumerate(sorted(names))], "label string, id int")
+
+
+def write_json_pretty(df: DataFrame, path: str, order: list[str]) -> None:
+    """One JSON array in one file, two spaces an indent, in the given order, UTF-8; values that JSON lacks as text.
+
+    The array is streamed through the driver row by row, so that it need not fit there; parents are made.
+    """
+    import json
+
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    first = True
+    for r in df.orderBy(*order).toLocalIterator():
+        body = json.dumps(r.asDict(recursive=True), ensure_ascii=False, indent=2, default=str)
+        out.write(bytearray(("[\n" if first else ",\n") + "\n".join("  " + x for x in body.split("\n")), "utf-8"))
+        first = False
+    out.write(bytearray("[]\n" if first else "\n]\n", "utf-8"))
+    out.close()
+
+
+def write_texts(df: DataFrame, path: str, key: str, text: str) -> None:
+    """One text file for each key, in folders key=value, as it is."""
+    df.select(key, text).write.partitionBy(key).mode("overwrite").option("lineSep", "\n").text(path)
