@@ -117,6 +117,29 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, fn: Callab
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast(text).alias("_text")).mapInArrow(run, out)
 
 
+def keep_where(df: DataFrame, text_col: str, load: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows whose text a function keeps, with all their columns, in one pass: nothing is joined or written.
+
+    ``load`` makes the function once for each task; it gets slices of whole texts (null ones too).
+    """
+    ship_package(df.sparkSession)
+    plain = df.schema[text_col].dataType.simpleString() == "string"
+    at = df.columns.index(text_col) if plain else len(df.columns)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = load()
+        for b in batches:
+            texts = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(at)], ["none", "text"])
+            mask = [k for _, part in batch_slices(texts) for k in keep(part)]
+            rows = b.filter(pa.array(mask, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(rows.columns[: len(names)], names)
+
+    spare = "_text" + "_" * max(map(len, names))
+    whole = df if plain else df.select("*", F.col(text_col).cast("string").alias(spare))
+    return whole.mapInArrow(run, df.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Fold 0 of five: crc32 of the id as text."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import batch_slices, map_texts, ship_package
+from textloom.llm.common import batch_slices, keep_where, map_texts, ship_package
 
 LETTERS = 64
 DIMENSIONS = 512
@@ -106,31 +106,44 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
     return {k: v / n for k, v in sorted(out.items()) if (n := np.linalg.norm(v)) > 0}
 
 
+def nearest(text: str | None, names: list[str], matrix: np.ndarray) -> tuple[str, float, int]:
+    """The language of the nearest prototype, its cosine (0 at least), and the number of trigrams."""
+    g = grams(text)
+    v = gram_vector(g) if names else None
+    n = 0.0 if v is None else float(np.linalg.norm(v))
+    if n == 0:
+        return "und", 0.0, len(g)
+    cos = matrix @ v / n
+    k = int(np.argmax(cos))
+    return names[k], min(1.0, max(0.0, float(cos[k]))), len(g)
+
+
+def stacked(prototypes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    return list(prototypes), np.array(list(prototypes.values())).reshape(len(prototypes), DIMENSIONS)
+
+
 def identify(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (the cosine with the winner, 0 at least), trigrams (how many the text has)."""
-    names = list(prototypes)
-    matrix = np.array([prototypes[k] for k in names]).reshape(len(names), DIMENSIONS)
+    names, matrix = stacked(prototypes)
 
     def run(ids, texts):
-        pred, score, size = [], [], []
-        for t in texts:
-            g = grams(t)
-            size.append(len(g))
-            v = gram_vector(g) if names else None
-            n = 0.0 if v is None else float(np.linalg.norm(v))
-            if n == 0:
-                pred.append("und")
-                score.append(0.0)
-                continue
-            cos = matrix @ v / n
-            k = int(np.argmax(cos))
-            pred.append(names[k])
-            score.append(min(1.0, max(0.0, float(cos[k]))))
-        return {"doc_id": ids, "lang_pred": pred, "score": score, "trigrams": size}
+        found = [nearest(t, names, matrix) for t in texts]
+        return {"doc_id": ids} | {k: [x[i] for x in found] for i, k in enumerate(("lang_pred", "score", "trigrams"))}
 
     return map_texts(df, id_col, text_col, f"doc_id {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double, trigrams long", run)
 
 
+def keep_known(df: DataFrame, prototypes: dict[str, np.ndarray], least: float, text_col: str = "text") -> DataFrame:
+    """The rows in a learned language, with all their columns: texts without a letter go, and those of LEAST_TRIGRAMS or more whose cosine is below ``least``."""
+    names, matrix = stacked(prototypes)
+
+    def keep(texts):
+        found = [nearest(t, names, matrix) for t in texts]
+        return [lang != "und" and (n < LEAST_TRIGRAMS or cos >= least) for lang, cos, n in found]
+
+    return keep_where(df, text_col, lambda: keep)
+
+
 def floor(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> float:
     """A cosine that texts of LEAST_TRIGRAMS trigrams or more in a learned language hardly fall below.
 

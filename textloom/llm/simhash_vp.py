@@ -35,6 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from textloom.llm.common import discard, map_texts, materialize, ship_package
@@ -295,3 +296,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = join_spread(named, whole, "root", count["groups"])
     joined = join_spread(prints, materialize(named.select("fp", "component_id", F.col("rows").alias("n"))), "fp", count["rows"])
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Rows that a broadcast may hold, of two longs each.
+BROADCAST_ROWS = 500_000
+
+
+def row_keys(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, a struct of two longs that no later read changes, and the key's name.
+
+    Rows of files have one in their file and place; others are written to the shared folder with a number.
+    """
+    key = "_row"
+    while key in {c.lower() for c in df.columns}:
+        key += "_"
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation" and "_metadata" not in {c.lower() for c in df.columns}:
+        try:
+            file = F.xxhash64("_metadata.file_path")
+            named = df.select("*", F.struct(file.alias("a"), F.col("_metadata.row_index").alias("b")).alias(key))
+            told_apart = df.select(F.count_distinct("_metadata.file_path") == F.count_distinct(file)).first()[0]
+        except AnalysisException:
+            told_apart = False  # a format without places
+        if told_apart:
+            return named, key
+    return materialize(df.select("*", F.struct(F.lit(0).cast("long").alias("a"), F.monotonically_increasing_id().alias("b")).alias(key))), key
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that of the smallest id, one without an id only where none has one."""
+    rows, key = row_keys(df)
+    # Of a text and id that occur twice any row may stay; texts of one id are told apart by their hash.
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(key).alias("row"))
+    groups = materialize(near_duplicates(rows.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", radius).select(F.col("doc_id").alias("place"), "component_id"))
+    go = materialize(groups.where(F.col("place") != F.col("component_id")).select(F.col("place.row").alias(key)))
+    discard(groups)
+    small = go.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(go) if small else go, key, "left_anti").select(*df.columns)

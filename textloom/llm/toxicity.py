@@ -44,7 +44,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_texts
+from textloom.llm.common import keep_where, map_texts
 
 ORDER = 4
 SPAN = 6
@@ -385,16 +385,12 @@ def sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     return [t for _, t, y in found if y == 1], [t for _, t, y in found if y == 0]
 
 
-def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, predicted for every whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(machine.plain())
-    made: list[Machine] = []
+def scorer(shared):
+    """A function from texts to scores, with a memory of tokens, of a broadcast machine."""
+    m = Machine(*shared.value)
     seen: dict[str, float] = {}
 
-    def run(ids, texts):
-        if not made:
-            made.append(Machine(*shared.value))
-        m = made[0]
+    def scores(texts: list[str | None]) -> np.ndarray:
         bags = [tokens(t) for t in texts]
         missing = set().union(*bags).difference(seen)
         if missing:
@@ -403,7 +399,31 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
                 missing = set().union(*bags)
             words = list(missing)
             seen.update(zip(words, m.token_values(words), strict=True))
-        s = m.score([sum(sorted(map(seen.__getitem__, b))) for b in bags], [len(b) for b in bags]).tolist()
+        return m.score([sum(sorted(map(seen.__getitem__, b))) for b in bags], [len(b) for b in bags])
+
+    return scores
+
+
+def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score, predicted for every whole text."""
+    shared = df.sparkSession.sparkContext.broadcast(machine.plain())
+    made: list = []
+
+    def run(ids, texts):
+        if not made:
+            made.append(scorer(shared))
+        s = made[0](texts).tolist()
         return {"doc_id": ids, "score": s, "predicted": [int(x >= 0.5) for x in s]}
 
     return map_texts(df, id_col, text_col, f"doc_id {df.schema[id_col].dataType.simpleString()}, score double, predicted int", run)
+
+
+def keep_clean(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
+    """The rows whose text is not predicted toxic, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(machine.plain())
+
+    def load():
+        scores = scorer(shared)
+        return lambda texts: (scores(texts) < 0.5).tolist()
+
+    return keep_where(df, text_col, load)
