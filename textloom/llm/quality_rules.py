@@ -6,7 +6,8 @@ text's posterior probability of being good decides, not all rules at once. The e
 on counts of vote patterns over all texts: at most 3 ** rules of them, whatever the input.
 
 Defined results: null and empty texts have no words and fail the base. Repeated rows get
-equal results. Without rows there is no result.
+equal results. A posterior of just KEEP_AT keeps a row. A very long text costs time and memory of a few
+times its size, in one row. Without rows there is no result.
 """
 
 from __future__ import annotations
