@@ -164,7 +164,7 @@ def numbered_questions(text: Column) -> Column:
     return F.transform(
         parts,
         lambda p: F.struct(
-            F.trim(F.regexp_extract(p, "(?s)^[0-9]{1,2}[.)]\\s+(.*?)(?=\\n\\s*\\([a-d]\\)|\\z)", 1)).alias("question"),
+            F.regexp_replace(F.regexp_extract(p, "(?s)^[0-9]{1,2}[.)]\\s+(.*?)(?=\\n\\s*\\([a-d]\\)|\\z)", 1), "^\\s+|\\s+$", "").alias("question"),
             F.transform(F.regexp_extract_all(p, F.lit("\\(([a-d]\\)\\s*[^\\n(]+)"), F.lit(1)), lambda o: F.trim(o)).alias("options"),
         ),
     )

@@ -74,16 +74,43 @@ def _rows(name, column, sql=None, table="documents", key="doc_id"):
 
 
 t = lambda: F.col("text")
-_rows("chk06_passages", lambda: F.size(D.passages(t())))
-_rows("flt10_flt11_clean_text", lambda: D.is_clean(t()))
-_rows("txt17_split_sentences", lambda: F.size(D.split_sentences(t())))
+#: A run of five or more of one character, written out for the characters of the tables: the counterpart's patterns know no back-references.
+_CHARS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçàáíóúñABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÀÁÍÓÚÑ0123456789 #$%&*.,!?|_=:;'\"()<>/@-"
+RUN5 = "|".join((c if c.isalnum() or c == " " else f"[{c}]") + "{5,}" for c in _CHARS)
+#: Splitting before a capital: the counterpart's patterns look neither ahead nor behind, so the letter is put back.
+SPLIT = "regexp_replace(regexp_replace(coalesce(text, ''), " + S.quoted("(^|[^\\p{L}\\p{N}_])" + D.ABBREVIATIONS.replace("(?i)\\b", "(?i)")) + ", '\\1\\2<DOT>', 'g'), '\\.\\s+([A-Z])', chr(1) || '\\1', 'g')"
+SENTENCES = f"list_transform(list_filter(list_transform(string_split({SPLIT}, chr(1)), lambda p: trim(replace(p, '<DOT>', '.'), ' ')), lambda p: length(p) > 3), lambda p: rtrim(p, '.') || '.')"
+EACH = f"SELECT doc_id, unnest(x) AS s, unnest(range(len(x))) AS i FROM (SELECT doc_id, {SENTENCES} AS x FROM documents)"
+
+
+def _exploded(name, column, sql):
+    @query(name, sql)
+    def run(spark, d):
+        return load(spark, d, "documents").select("doc_id", F.posexplode(column()).alias("i", "value"))
+
+    return run
+
+
+_exploded("txt17_split_sentences", lambda: D.split_sentences(t()), f"SELECT doc_id, i, s AS value FROM ({EACH})")
+_PASSAGE = "array_to_string(x[k + 1 : k + 5], ' ')"
+for _p, _by in (("\\(\\s*\\)", ""), ("\\(\\s*[Ff]ig(?:ure)?[^)]{0,20}\\)", ""), *[("(^|[^\\p{L}\\p{N}_(])-\\s*[0-9]{1,3}($|[^\\p{L}\\p{N}_])", "\\1\\2")] * 2, ("\\bMeet a (?:Scientist|Researcher|Expert)\\b", ""), ("[\\s\\p{Z}]+", " ")):
+    _PASSAGE = f"regexp_replace({_PASSAGE}, {S.quoted(_p)}, {S.quoted(_by)}, 'g')"
+PASSAGES = f"SELECT doc_id, k, trim({_PASSAGE}, ' ') AS p FROM (SELECT doc_id, x, unnest(range(0, len(x) - 1, 3)) AS k FROM (SELECT doc_id, {SENTENCES} AS x FROM documents))"
+_exploded("chk06_passages", lambda: F.transform(D.passages(t()), F.md5), f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, md5(p) AS value FROM ({PASSAGES}) WHERE length(p) >= 250 AND length(p) - length(replace(p, '?', '')) <= 3 AND NOT regexp_matches(p, {S.quoted(RUN5)})")
+_rows("flt10_flt11_clean_text", lambda: D.is_clean(t()), """
+WITH c AS (SELECT k, doc_id, unnest(ch) AS c, unnest(range(len(ch))) AS i FROM (SELECT row_number() OVER () AS k, doc_id, string_split(text, '') AS ch FROM documents WHERE text IS NOT NULL)),
+n AS (SELECT k, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3, lead(c, 4) OVER w AS c4, lead(c, 5) OVER w AS c5 FROM c WINDOW w AS (PARTITION BY k ORDER BY i)),
+b AS (SELECT k, bool_or(coalesce((c = c1 AND c1 = c2 AND c2 = c3 AND c3 = c4 AND c NOT IN (chr(10), chr(13))) OR (c = c1 AND c2 = c3 AND c4 = c5 AND regexp_matches(c || c2 || c4, '^[A-Za-z]{3}$')), false)) AS bad FROM n GROUP BY k)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN NOT coalesce(bad, false) END AS value FROM (SELECT row_number() OVER () AS k, doc_id, text FROM documents) LEFT JOIN b USING (k)""")
 _rows("txt18_extract_sentences", lambda: F.size(D.extract_sentences(t())))
 _rows("txt30_strip_doubled", lambda: F.md5(D.strip_doubled(t())))
 _rows("txt31_chunk_lines", lambda: F.md5(D.chunk_lines(t())))
 _rows("txt32_collapse_overprint", lambda: F.md5(F.array_join(F.transform(T.split_words(t()), D.collapse_overprint), " ")))
 _rows("txt36_clean_blob", lambda: F.md5(D.clean_blob(t())))
+#: Runs of two to four capitalised words that no other letter touches. White space is doubled, since a match takes one of it.
+CAPITALS = "list_filter(list_transform(regexp_extract_all(regexp_replace(text, '(\\s)', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{N}_])([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){1,3})(?:$|[^\\p{L}\\p{N}_])', 1), lambda x: regexp_replace(x, '(\\s)\\s', '\\1', 'g')), lambda x: lower(regexp_extract(x, '^\\S+')) NOT IN " + S.listed(D.STARTS) + ")"
 _rows("txt37_key_term", lambda: D.key_term(t()))
-_rows("txt38_noun_phrases", lambda: F.array_join(D.noun_phrases(t()), "|"))
+_rows("txt38_noun_phrases", lambda: F.array_join(D.noun_phrases(t()), "|"), f"SELECT doc_id, coalesce(array_to_string(list_transform((list_sort(list_transform(list_distinct(list_transform(x, lambda y: lower(y))), lambda y: list_position(list_transform(x, lambda z: lower(z)), y))))[1:2], lambda k: x[k]), '|'), '') AS value FROM (SELECT doc_id, {CAPITALS} AS x FROM documents)")
 CLEAN = "array_to_string(list_transform(" + S.tokens() + ", lambda w: w), ' ')"
 for _p, _by in (
     ("(?i)(the fundamental unit of life|chapter\\s*[0-9]+|science|class\\s*(ix|x|9|10)|ncert)", ""), ("(?i)\\b[0-9]{4}CH[0-9]{2}\\b", ""), ("(?i)\\b(Think It Over)\\b", ""), ("Fig(?:ure|\\.)\\s*[0-9]+[.0-9]*\\s*[:-]?\\s*", ""), ("Table\\s*[0-9]+[.0-9]*\\s*[:-]?\\s*", ""),
@@ -116,7 +143,10 @@ def noise_lines(spark, d):
     return lines.groupBy("doc_id").agg(F.count_if(D.is_noise(F.col("line"))).alias("noise"), F.count("*").alias("lines"))
 
 
-@query("flt12_good_first_sentence")
+_SKIPPED = [*D.STARTS, *"so yet also together inside outside therefore however additionally furthermore moreover nevertheless otherwise firstly secondly thirdly finally note observe remember recall".split()]
+
+
+@query("flt12_good_first_sentence", f"SELECT doc_id, s FROM ({EACH}) WHERE i = 0 AND length(s) BETWEEN 15 AND 150 AND lower(regexp_extract(s, '^\\s*(\\S+)', 1)) NOT IN {S.listed(_SKIPPED)} AND NOT regexp_matches(s, '\\(\\s*\\)|\\(\\s*-\\s*[0-9]|\\(\\s*Fig') AND NOT regexp_matches(s, '[A-Z]{{3,}}|[0-9]{{4,}}|[_=<>{{}}\\[\\]]') AND NOT regexp_matches(s, '(?i)\\b(Meet a|Curiosity|Grade [0-9]|Reprint)\\b')")
 def good_first(spark, d):
     return load(spark, d, "documents").select("doc_id", F.get(D.split_sentences(F.col("text")), F.lit(0)).alias("s")).where(D.is_good_start(F.col("s")))
 

@@ -206,16 +206,23 @@ def seed_validation(spark, d):
     return load(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("val01_entry_validation")
+_LAST = f"SELECT conv_id, turn, key, arg_max(upper(tag), i) AS tag FROM (SELECT conv_id, turn, i, CASE WHEN {S.strip_marks('w')} = '' THEN w ELSE {S.strip_marks('w')} END AS key, {S.position_lid(S.strip_marks('w'), 'i', False)} AS tag FROM (SELECT conv_id, turn, unnest(t) AS w, unnest(range(len(t))) AS i FROM (SELECT conv_id, turn, {S.tokens()} AS t FROM conversations))) GROUP BY ALL"
+
+
+@query("val01_entry_validation", f"""WITH l AS ({_LAST}), n AS (SELECT conv_id, turn, count(*) FILTER (WHERE tag = 'HI') AS hi, count(*) FILTER (WHERE tag = 'EN') AS en FROM l GROUP BY ALL),
+j AS (SELECT c.conv_id, c.turn, c.role, c.text, coalesce(hi, 0) AS hi, coalesce(en, 0) AS en FROM conversations c LEFT JOIN n USING (conv_id, turn))
+SELECT conv_id, turn, concat_ws('; ', CASE WHEN len(list_filter({S.tokens()}, lambda w: {S.strip_marks('w')} = '')) > 0 AND len(list_filter({S.tokens()}, lambda w: {S.strip_marks('w')} <> '')) > 0 THEN 'labels do not match tokens' END, CASE WHEN role = 'user' THEN 'student query without intent' END, CASE WHEN lower(trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')) = 'hello' THEN 'identical texts' END,
+CASE WHEN hi + en = 0 THEN 'no code-mixing index' END, CASE WHEN hi + en > 0 AND (1 - greatest(hi, en) / (hi + en)::DOUBLE) * 100 NOT BETWEEN 10 AND 70 THEN 'code-mixing index out of range' END) AS issues FROM j""")
 def entry_validation(spark, d):
     rows = load(spark, d, "conversations").select("conv_id", "turn", R.entry_issues(F.lit("hello"), F.col("text"), T.label_map(F.col("text")), F.col("role") == "user", F.lit(None).cast("string")).alias("issues"))
     return rows.select("conv_id", "turn", F.array_join("issues", "; ").alias("issues"))
 
 
-@query("val04_auto_fix")
+@query("val04_auto_fix", f"SELECT c.conv_id, c.turn, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g'), ' ') AS text, coalesce(l.labels, '') AS labels FROM conversations c LEFT JOIN (SELECT conv_id, turn, string_agg(key || '=' || tag, ' ' ORDER BY key) AS labels FROM ({_LAST}) GROUP BY ALL) l USING (conv_id, turn)")
 def auto_fix(spark, d):
     fixed = F.transform_values(T.label_map(F.col("text")), lambda k, v: F.upper(v))
-    return load(spark, d, "conversations").select("conv_id", "turn", T.squeeze(F.col("text")).alias("text"), F.size(fixed).alias("n_labels"))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries(fixed)), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
+    return load(spark, d, "conversations").select("conv_id", "turn", T.squeeze(F.col("text")).alias("text"), listed.alias("labels"))
 
 
 BASE = "SELECT doc_id, 'cell membrane aur nucleus hota hai ' || array_to_string(" + S.tokens() + ", ' ') AS t FROM documents"

@@ -70,11 +70,11 @@ def reactions(spark, d):
     return G.reactions(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", bank)
 
 
-@query("gen05_numbered_questions")
+@query("gen05_numbered_questions", "SELECT doc_id, 0 AS i, md5(regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g')) AS question_md5, 'a) yes|b) no' AS options FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 1, md5('Why?'), '' FROM documents WHERE text IS NOT NULL")
 def numbered(spark, d):
     text = F.concat(F.lit("1. "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n(a) yes\n(b) no\n2. Why?\n"))
     q = load(spark, d, "documents").select("doc_id", F.posexplode(G.numbered_questions(text)).alias("i", "q"))
-    return q.select("doc_id", "i", F.length("q.question").alias("chars"), F.size("q.options").alias("options"))
+    return q.select("doc_id", "i", F.md5("q.question").alias("question_md5"), F.array_join("q.options", "|").alias("options"))
 
 
 @query("jon11_best_window")

@@ -95,13 +95,19 @@ def subject_alias(spark, d):
     return load(spark, d, "events").select("event_id", E.subject(F.when(F.col("event_id") % 2 == 0, "Bio").otherwise("SS")).alias("subject"))
 
 
-@query("chk17_sections")
+@query("chk17_sections", "SELECT doc_id, 'E X E R C I S E S' AS marker, md5(c) AS content_md5 FROM (SELECT doc_id, text, CASE WHEN length(text) < 18 THEN trim(text || ' What you have learnt rest', ' ') ELSE trim(text, ' ') END AS c FROM documents) WHERE length(c) > 30 AND NOT contains(text, 'E X E R C I S E S') AND NOT contains(text, 'Q U E S T I O N S') AND NOT contains(text, 'What you have learnt') AND NOT contains(text, 'At a Glance')")
 def sections(spark, d):
     text = F.concat(F.lit("intro E X E R C I S E S "), F.col("text"), F.lit(" What you have learnt rest"))
     s = load(spark, d, "documents").select("doc_id", F.explode(E.sections(text, ["E X E R C I S E S", "Q U E S T I O N S"], ["What you have learnt", "At a Glance"])).alias("s"))
     return s.select("doc_id", "s.marker", F.md5("s.content").alias("content_md5"))
 
 
-@query("txt19_trim_garbage")
+_CORE = "trim(w, '.,;:?!\"''()-')"
+
+
+@query("txt19_trim_garbage", f"""WITH w AS (SELECT doc_id, w, i, regexp_matches({_CORE}, '[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]{{4,}}') AS bad, regexp_matches({_CORE}, '^\\p{{Lu}}') AS capital FROM ({S.words_of_documents()})),
+s AS (SELECT doc_id, min(i) FILTER (WHERE capital AND NOT bad) AS stop FROM w GROUP BY doc_id), k AS (SELECT doc_id, coalesce(max(i) FILTER (WHERE bad AND (stop IS NULL OR i < stop)), -1) AS cut FROM w JOIN s USING (doc_id) GROUP BY doc_id),
+r AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS rest FROM w JOIN k USING (doc_id) WHERE i > cut GROUP BY doc_id)
+SELECT doc_id, md5(CASE WHEN length(rest) >= 40 THEN rest ELSE text END) AS value FROM documents LEFT JOIN r USING (doc_id)""")
 def trim_garbage(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(E.trim_garbage(F.col("text"))).alias("value"))
