@@ -58,6 +58,14 @@ def extractive_answer(context: Column, question: Column) -> Column:
     return F.coalesce(F.array_max(scored)["s"], context)
 
 
+def standalone(question: Column, previous: Column, transcript: Column | None = None, rewrite: Callable[[Column], Column] | None = None) -> Column:
+    """The question as it stands alone: without an earlier question itself; else a model's rewrite of the transcript if it looks sane, else the two joined."""
+    joined = F.trim(F.concat_ws(" ", previous, question))
+    if rewrite is None or transcript is None:
+        return joined
+    return F.when(previous.isNull(), question).otherwise(F.coalesce(T.standalone_rewrite(rewrite(transcript), question), joined))
+
+
 NOT_FOUND = "This is not covered in the given chapters."
 
 

@@ -171,14 +171,18 @@ def numbered_questions(text: Column) -> Column:
 
 
 def best_window(question: Column, sentences: Column, window: int = 5) -> Column:
-    """The window of sentences that holds most of the question's words of four letters or more; the first of equals."""
+    return scored_window(question, sentences, window)["text"]
+
+
+def scored_window(question: Column, sentences: Column, window: int = 5) -> Column:
+    """score, at, text of the window of sentences that holds most of the question's words of four letters or more; the first of equals."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(question), F.lit("\\b([a-z]{4,})\\b"), F.lit(1)))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(sentences) - window), F.lit(2))
 
     def scored(k: Column) -> Column:
         return T.let(F.array_join(F.slice(sentences, k + 1, F.lit(window)), " "), lambda w: F.struct(F.size(F.filter(words, lambda x: F.contains(F.lower(w), x))).alias("score"), (-k).alias("at"), w.alias("text")))
 
-    return F.array_max(F.transform(starts, scored))["text"]
+    return F.array_max(F.transform(starts, scored))
 
 
 def distinct_questions(parts: list[DataFrame], key: str) -> DataFrame:

@@ -8,8 +8,10 @@ from textloom.functions import docs as D
 from textloom.functions import nlp as N
 from textloom.functions import text as T
 from textloom.operators import adapters as A
+from textloom.operators import chats as C
 from textloom.operators import generators as G
 from textloom.plans import _sql as S
+from textloom.plans.p02_documents import SENTENCES
 from textloom.registry import load, query
 
 
@@ -77,9 +79,19 @@ def numbered(spark, d):
     return q.select("doc_id", "i", F.md5("q.question").alias("question_md5"), F.array_join("q.options", "|").alias("options"))
 
 
-@query("jon11_best_window")
+_WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower(question), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda w: regexp_full_match(w, '[a-z]{4,}')))"
+
+
+@query("jon11_best_window", f"""WITH d AS (SELECT doc_id, {SENTENCES} AS x FROM documents), q AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
+w AS (SELECT conv_id, turn, {_WORDS} AS words, unnest(range(0, greatest(0, len(x) - 5) + 1, 2)) AS k, x FROM q JOIN d ON doc_id = conv_id WHERE len(x) > 0),
+s AS (SELECT conv_id, turn, k, array_to_string(x[k + 1 : k + 5], ' ') AS t, words FROM w), n AS (SELECT conv_id, turn, k, t, len(list_filter(words, lambda y: contains(lower(t), y))) AS n FROM s)
+SELECT conv_id, turn, n AS score, md5(t) AS window_md5 FROM n QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, k) = 1""")
 def best_window(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.md5(G.best_window(F.substring("text", 1, 60), D.split_sentences(F.col("text")))).alias("window_md5"))
+    """For every question of a conversation the best window of the document of the same number."""
+    q = load(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    x = load(spark, d, "documents").select("doc_id", D.split_sentences(F.col("text")).alias("x")).where(F.size("x") > 0)
+    found = q.join(x, F.col("conv_id") == F.col("doc_id")).withColumn("w", G.scored_window(F.col("question"), F.col("x")))
+    return found.select("conv_id", "turn", F.col("w.score").cast("long").alias("score"), F.md5("w.text").alias("window_md5"))
 
 
 @query("vec01_embed")
@@ -95,6 +107,8 @@ def intents(spark, d):
 
 @query("vec12_answers")
 def answers(spark, d):
+    """Every user turn: made to stand alone, searched, answered."""
     b = load(spark, d, "benchmark").select("item_id", "text", A.embed(F.col("text")).alias("embedding"))
-    q = load(spark, d, "conversations").where("role = 'user' and conv_id % 50 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("q_id"), F.col("text").alias("question"), A.embed(F.col("text")).alias("embedding"))
-    return A.answer(q, b.withColumnRenamed("item_id", "id"))
+    turns = load(spark, d, "conversations").withColumn("p", C.previous_question("conv_id", "turn")).where("role = 'user'")
+    q = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("q_id"), A.standalone(F.col("text"), F.col("p")).alias("question"))
+    return A.answer(q.withColumn("embedding", A.embed(F.col("question"))), b.withColumnRenamed("item_id", "id"))
