@@ -62,7 +62,7 @@ def test_stems_and_lemmas():
 
 def test_gazetteer_prefers_longer():
     phrases = [(("indus",), "PLACE"), (("indus", "valley"), "CIVILISATION")]
-    assert N.gazetteer_spans("The Indus Valley and Indus".split(), phrases) == [(1, 3, "CIVILISATION"), (4, 5, "PLACE")]
+    assert N.gazetteer_spans("The Indus Valley and Indus".split(), N.gazetteer_index(phrases)) == [(1, 3, "CIVILISATION"), (4, 5, "PLACE")]
 
 
 def words(n, at=0):

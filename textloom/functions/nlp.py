@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -163,15 +163,27 @@ def tag(word: str) -> str:
 
 
 def over_arrays(f: Callable[[str], str], tokens: Column) -> Column:
-    """A word function over token arrays."""
+    """A word function over token arrays: each distinct word of a batch is asked once, and remembered within bounds."""
 
     @F.pandas_udf("array<string>")
-    def run(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda ts: [f(t) for t in ts] if ts is not None else None)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, str] = {}
+        for b in batches:
+            rows = [None if ts is None else list(ts) for ts in b]
+            missing = {t for ts in rows if ts for t in ts}.difference(known)
+            if len(known) + len(missing) > WORDS_KEPT:
+                known.clear()
+                missing = {t for ts in rows if ts for t in ts}
+            known.update((t, None if t is None else f(t)) for t in missing)
+            yield pd.Series([None if ts is None else [known[t] for t in ts] for ts in rows], dtype=object)
 
     return run(tokens)
 
 
+#: Words that a task remembers with their stems or tags.
+WORDS_KEPT = 200_000
+
+
 def porter_stems(tokens: Column) -> Column:
     return over_arrays(porter, tokens)
 
@@ -196,22 +208,32 @@ def treebank_tokens(text: Column) -> Column:
     return run(text)
 
 
-def gazetteer_spans(tokens: list[str], phrases: list[tuple[tuple[str, ...], str]]) -> list[tuple[int, int, str]]:
-    """(start, end, label) of the longest phrases first, without overlaps. phrases: lower-case words and label, in order."""
+def gazetteer_index(phrases: list[tuple[tuple[str, ...], str]]) -> dict[str, list[tuple[int, int, tuple[str, ...], str]]]:
+    """Phrases by their first word, each with its length and rank: longest first, then as given."""
+    index: dict[str, list[tuple[int, int, tuple[str, ...], str]]] = {}
+    for rank, (words, label) in enumerate(sorted(phrases, key=lambda p: -len(p[0]))):
+        if words:
+            index.setdefault(words[0], []).append((rank, len(words), words, label))
+    return index
+
+
+def gazetteer_spans(tokens: list[str], index: dict[str, list[tuple[int, int, tuple[str, ...], str]]]) -> list[tuple[int, int, str]]:
+    """(start, end, label) of the longest phrases first, without overlaps. Only phrases that start with a token are tried there."""
     low = [t.lower() for t in tokens]
+    hits = [(rank, i, n, label) for i, t in enumerate(low) for rank, n, words, label in index.get(t, ()) if tuple(low[i : i + n]) == words]
     taken, out = [False] * len(low), []
-    for words, label in sorted(phrases, key=lambda p: -len(p[0])):
-        n = len(words)
-        for i in range(len(low) - n + 1):
-            if tuple(low[i : i + n]) == words and not any(taken[i : i + n]):
-                taken[i : i + n] = [True] * n
-                out.append((i, i + n, label))
+    for _, i, n, label in sorted(hits):
+        if not any(taken[i : i + n]):
+            taken[i : i + n] = [True] * n
+            out.append((i, i + n, label))
     return sorted(out)
 
 
 def gazetteer(phrases: list[tuple[tuple[str, ...], str]]):
+    index = gazetteer_index(phrases)
+
     @F.pandas_udf("array<struct<start:int,end:int,label:string>>")
     def run(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda ts: [{"start": a, "end": b, "label": c} for a, b, c in gazetteer_spans(list(ts), phrases)] if ts is not None else None)
+        return tokens.map(lambda ts: [{"start": a, "end": b, "label": c} for a, b, c in gazetteer_spans(list(ts), index)] if ts is not None else None)
 
     return run
