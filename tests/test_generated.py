@@ -146,3 +146,25 @@ def test_long_texts_take_linear_time(spark, n):
     text = " ".join(f"Word{i} Other{i % 50}. " for i in range(n))
     for f in (T.label_map, D.extract_sentences, D.noun_phrases, lambda t: D.merge_short(D.paragraphs(F.replace(t, F.lit(". "), F.lit("\n\n"))), 3)):
         assert one(spark, lambda t, f=f: F.size(f(t)), text) >= 0
+
+
+def test_numbered_questions(spark):
+    text = "1. Which is it?\n(a) red one\n(b) blue one\n2. Answer these.\n(a) What is a cell wall made of?\n(b) Why do plants need it at all?\n3. Why?\n"
+    one_, two, three = one(spark, G.numbered_questions, text)
+    assert (one_["number"], one_["question"], one_["options"], one_["parts"]) == (1, "Which is it?", ["a) red one", "b) blue one"], [])
+    assert (two["number"], two["question"], two["options"], [tuple(p) for p in two["parts"]]) == (2, "Answer these.", [], [("a", "What is a cell wall made of?"), ("b", "Why do plants need it at all?")])
+    assert (three["question"], three["options"], three["parts"]) == ("Why?", [], [])
+
+
+def test_vector_scores(spark):
+    from textloom.operators import adapters as A
+    from textloom.operators import reports as M
+
+    rows = spark.createDataFrame([("a b", "b a"), ("a", "zzz"), ("", "a"), (None, None)], "p string, g string")
+    got = M.vector_scores(rows, "p", "g", A.hashed_vectors).collect()
+    assert got[0]["f1"] == pytest.approx(1) and got[1]["f1"] < 0.9 and got[2]["f1"] == got[3]["f1"] == 0
+
+
+def test_plain_metadata(spark):
+    rows = spark.createDataFrame([(None, None, None, [1.0], {"a": 1})], "s string, n int, b boolean, v array<double>, m map<string,int>")
+    assert tuple(S.plain_metadata(rows).first()) == ("", 0, False, [1.0], '{"a":1}')

@@ -159,15 +159,36 @@ def derived_answer(question: Column, options: Column, chapter: Column) -> Column
 
 
 def numbered_questions(text: Column) -> Column:
-    """Questions of a numbered list, with their lettered options."""
+    """number, question, options ("a) text"), parts ("(a) text" of 15 characters or more where there are no two options) of a numbered list."""
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), "(?m)^\\s*(?=[0-9]{1,2}[.)]\\s)"), lambda p: p.rlike("^[0-9]{1,2}[.)]\\s"))
-    return F.transform(
-        parts,
-        lambda p: F.struct(
-            F.regexp_replace(F.regexp_extract(p, "(?s)^[0-9]{1,2}[.)]\\s+(.*?)(?=\\n\\s*\\([a-d]\\)|\\z)", 1), "^\\s+|\\s+$", "").alias("question"),
-            F.transform(F.regexp_extract_all(p, F.lit("\\(([a-d]\\)\\s*[^\\n(]+)"), F.lit(1)), lambda o: F.trim(o)).alias("options"),
-        ),
-    )
+    bare = lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")
+
+    def of(p: Column) -> Column:
+        options = F.transform(F.regexp_extract_all(p, F.lit("\\(([a-d]\\)\\s*[^\\n(]+)"), F.lit(1)), bare)
+        found = F.regexp_extract_all(p, F.lit("(?s)(\\([a-f]\\)\\s*[^(]{15,}?)(?=\\s*\\([a-f]\\)|\\z)"), F.lit(1))
+        long_ = F.filter(F.transform(found, lambda x: F.struct(F.substring(x, 2, 1).alias("label"), bare(F.substring(x, F.lit(4), F.length(x))).alias("text"))), lambda x: F.length(x["text"]) > 15)
+        question = bare(F.regexp_extract(p, "(?s)^[0-9]{1,2}[.)]\\s+(.*?)(?=\\s*\\n\\s*\\([a-f]\\)|\\z)", 1))
+        none = F.slice(long_, F.lit(1), F.lit(0))
+        # Options are short lines; parts are questions of their own.
+        asked = F.exists(long_, lambda x: F.endswith(x["text"], F.lit("?"))) | (F.size(options) < 2)
+        return F.struct(F.regexp_extract(p, "^([0-9]{1,2})", 1).cast("int").alias("number"), question.alias("question"), F.when(asked & (F.size(long_) > 0), F.slice(options, F.lit(1), F.lit(0))).otherwise(options).alias("options"), F.when(asked, long_).otherwise(none).alias("parts"))
+
+    return F.transform(parts, of)
+
+
+def labelled_entries(rows: DataFrame, id_prefix: str, order: str, english: str, hinglish: str, topic: str, kind: str) -> DataFrame:
+    """Hand-made entries as labelled sentences: id (prefix_0001 on), the texts, the map of word labels, and flags by kind ("statement", "query", "gec").
+
+    The entries come as a table; numbers follow the order over all rows, counted without a single sort.
+    """
+    from textloom.sources.stores import number_within
+
+    numbered = number_within(rows.withColumn("_all", F.lit(id_prefix)), "_all", order, "_number")
+    return numbered.select(
+        F.format_string("%s_%04d", F.col("_all"), F.col("_number")).alias("id"),
+        F.col(english).alias("original_english"), F.col(hinglish).alias("hinglish_roman"), T.label_map(F.col(hinglish)).alias("word_level_labels"), F.col(topic).alias("topic"),
+        (F.col(kind) == "query").alias("is_student_query"), (F.col(kind) == "gec").alias("is_gec_sample"), F.when(F.col(kind) == "query", T.classify_intent(F.col(english))).alias("intent"),
+    )
 
 
 def best_window(question: Column, sentences: Column, window: int = 5) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,3 +112,27 @@ def token_accuracy(pred: Column, gold: Column) -> Column:
     """Share of the gold tokens that the prediction has at the same place; null without gold tokens."""
     same = F.size(F.filter(F.zip_with(gold, F.slice(pred, F.lit(1), F.size(gold)), lambda a, b: a.eqNullSafe(b) & a.isNotNull()), lambda x: x))
     return F.try_divide(same, F.size(gold))
+
+
+def matched_similarity(pred: np.ndarray, gold: np.ndarray) -> tuple[float, float, float]:
+    """Precision, recall and F of greedily matched token vectors (of length 1): each token counts by its best partner."""
+    if not len(pred) or not len(gold):
+        return 0.0, 0.0, 0.0
+    near = pred @ gold.T
+    p, r = float(near.max(1).mean()), float(near.max(0).mean())
+    return p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0
+
+
+def vector_scores(rows: DataFrame, pred: str, gold: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
+    """Adds precision, recall, f1 of matched token vectors by an embedding function; each distinct word of a batch is embedded once."""
+    @F.pandas_udf("struct<precision:double,recall:double,f1:double>")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        embed = load()
+        for p, g in batches:
+            pairs = [((a or "").split(), (b or "").split()) for a, b in zip(p, g, strict=True)]
+            words = sorted({w for a, b in pairs for w in (*a, *b)})
+            place = {w: k for k, w in enumerate(words)}
+            vectors = np.array(embed(words)) if words else np.zeros((0, 1))
+            yield pd.DataFrame([matched_similarity(vectors[[place[w] for w in a]], vectors[[place[w] for w in b]]) for a, b in pairs], columns=["precision", "recall", "f1"])
+
+    return rows.withColumn("_s", score(pred, gold)).select(*rows.columns, "_s.*")

@@ -104,6 +104,14 @@ def text_scores(spark, d):
     return M.text_scores(rows, "pred", "gold").select("item_id", F.round("rouge_l", 9).alias("rouge_l"), F.round("chrf", 6).alias("chrf"))
 
 
+@query("agg14_vector_scores")
+def vector_scores(spark, d):
+    from textloom.operators.adapters import hashed_vectors
+
+    rows = load(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"), F.array_join(F.filter(T.split_words(F.col("text")), lambda w, i: i > 0), " ").alias("pred"))
+    return M.vector_scores(rows, "pred", "gold", hashed_vectors).select("item_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query("agg14_perplexity", "SELECT event_type, round(exp(avg(value / 100)), 6) AS perplexity FROM events GROUP BY event_type")
 def perplexity(spark, d):
     return load(spark, d, "events").groupBy("event_type").agg(F.round(M.perplexity(F.col("value") / 100), 6).alias("perplexity"))

@@ -153,3 +153,15 @@ def memo_cache(spark, d):
     known = rows.distinct().where("length(source) % 2 = 0").select(memo.clean_key(F.col("source")).alias("key"), F.length("source").alias("v"))
     _, out = memo.enrich(rows, "source", known, "v", F.length)
     return out.groupBy("source").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+
+
+_LABELS = f"SELECT conv_id, turn, key, arg_max(tag, i) AS tag FROM (SELECT conv_id, turn, i, CASE WHEN {S.strip_marks('w')} = '' THEN w ELSE {S.strip_marks('w')} END AS key, {S.position_lid(S.strip_marks('w'), 'i', False)} AS tag FROM (SELECT conv_id, turn, unnest(t) AS w, unnest(range(len(t))) AS i FROM (SELECT conv_id, turn, {S.tokens()} AS t FROM conversations))) GROUP BY ALL"
+
+
+@query("gen07_labelled_entries", f"WITH l AS (SELECT conv_id, turn, string_agg(key || '=' || tag, ' ' ORDER BY key) AS labels FROM ({_LABELS}) GROUP BY ALL) SELECT format('chat_{{:04d}}', row_number() OVER (ORDER BY conv_id * 1000 + turn)) AS id, coalesce(labels, '') AS labels, role = 'user' AS is_student_query, role = 'system' AS is_gec_sample FROM conversations LEFT JOIN l USING (conv_id, turn)")
+def labelled_entries(spark, d):
+    kind = F.when(F.col("role") == "user", "query").when(F.col("role") == "system", "gec").otherwise("statement")
+    rows = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("o"), "text", "role", kind.alias("kind"))
+    e = G.labelled_entries(rows, "chat", "o", "text", "text", "role", "kind")
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("word_level_labels")), lambda x: F.concat_ws("=", x["key"], x["value"])), " ")
+    return e.select("id", listed.alias("labels"), "is_student_query", "is_gec_sample")

@@ -162,10 +162,30 @@ def write_collection(df: DataFrame, path: str, keys: list[str], force: bool = Fa
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) and not force:
         return False
-    df.write.partitionBy(*keys).mode("overwrite").parquet(path)
+    plain_metadata(df).write.partitionBy(*keys).mode("overwrite").parquet(path)
     return True
 
 
+def plain_metadata(df: DataFrame) -> DataFrame:
+    """Metadata as stores of vectors take it: text, numbers and truth values stay, missing ones become "" or 0 or false; arrays of numbers (vectors) stay; all else becomes JSON text."""
+    out = []
+    for f in df.schema:
+        kind, c = f.dataType.simpleString(), F.col(f.name)
+        if kind.startswith(("array<float", "array<double")):
+            out.append(c)
+        elif kind == "string":
+            out.append(F.coalesce(c, F.lit("")).alias(f.name))
+        elif kind == "boolean":
+            out.append(F.coalesce(c, F.lit(False)).alias(f.name))
+        elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+            out.append(F.coalesce(c, F.lit(0).cast(kind)).alias(f.name))
+        elif kind.startswith(("struct", "array", "map")):
+            out.append(F.coalesce(F.to_json(c), F.lit("")).alias(f.name))
+        else:
+            out.append(F.coalesce(c.cast("string"), F.lit("")).alias(f.name))
+    return df.select(*out)
+
+
 def first_match(files: DataFrame, names: list[str], path: str = "path") -> DataFrame:
     """Of files whose name is a candidate, the one of the earliest candidate (ties by path)."""
     base = F.regexp_extract(path, "([^/]+)$", 1)
