@@ -107,10 +107,38 @@ _rows("txt30_strip_doubled", lambda: F.md5(D.strip_doubled(t())))
 _rows("txt31_chunk_lines", lambda: F.md5(D.chunk_lines(t())))
 _rows("txt32_collapse_overprint", lambda: F.md5(F.array_join(F.transform(T.split_words(t()), D.collapse_overprint), " ")))
 _rows("txt36_clean_blob", lambda: F.md5(D.clean_blob(t())))
-#: Runs of two to four capitalised words that no other letter touches. White space is doubled, since a match takes one of it.
-CAPITALS = "list_filter(list_transform(regexp_extract_all(regexp_replace(text, '(\\s)', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{N}_])([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){1,3})(?:$|[^\\p{L}\\p{N}_])', 1), lambda x: regexp_replace(x, '(\\s)\\s', '\\1', 'g')), lambda x: lower(regexp_extract(x, '^\\S+')) NOT IN " + S.listed(D.STARTS) + ")"
-_rows("txt37_key_term", lambda: D.key_term(t()))
-_rows("txt38_noun_phrases", lambda: F.array_join(D.noun_phrases(t()), "|"), f"SELECT doc_id, coalesce(array_to_string(list_transform((list_sort(list_transform(list_distinct(list_transform(x, lambda y: lower(y))), lambda y: list_position(list_transform(x, lambda z: lower(z)), y))))[1:2], lambda k: x[k]), '|'), '') AS value FROM (SELECT doc_id, {CAPITALS} AS x FROM documents)")
+
+
+def touched(c: str, pattern: str) -> str:
+    """All matches of a pattern that no letter or digit touches. White space is doubled, since a match takes one of it, and halved again."""
+    found = f"regexp_extract_all(regexp_replace({c}, '(\\s)', '\\1\\1', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}_])({pattern})(?:$|[^\\p{{L}}\\p{{N}}_])', 1)"
+    return f"list_transform({found}, lambda x: regexp_replace(x, '(\\s)\\s', '\\1', 'g'))"
+
+
+def capitals(c: str) -> str:
+    return f"list_filter({touched(c, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){1,3}')}, lambda x: lower(regexp_extract(x, '^\\S+')) NOT IN {S.listed(D.STARTS)})"
+
+
+def phrases(x: str) -> str:
+    """The first two of a list of runs that differ in more than case."""
+    return f"list_transform((list_sort(list_transform(list_distinct(list_transform({x}, lambda y: lower(y))), lambda y: list_position(list_transform({x}, lambda z: lower(z)), y))))[1:2], lambda k: {x}[k])"
+
+
+def key_term(c: str, runs: str) -> str:
+    """c: a text; runs: its capitalised runs."""
+    defined = f"trim(regexp_extract({c}, '^([A-Z][^.!?]{{3,50}}?)\\s+(?:is|are|refers to|means|can be defined)', 1), ' ')"
+    words = f"regexp_split_to_array(lower({defined}), '[\\s\\p{{Z}}]+')"
+    single = f"list_filter({touched(c, '[A-Z][a-z]{4,}')}, lambda x: lower(x) NOT IN {S.listed(D.STARTS)})[1]"
+    return f"CASE WHEN {c} IS NOT NULL THEN coalesce(CASE WHEN length({defined}) >= 4 AND {words}[1] NOT IN {S.listed(D.STARTS)} AND {words}[-1] NOT IN {S.listed(D.STARTS)} AND len({words}) <= 6 THEN {defined} END, list_filter({runs}, lambda x: length(x) >= 5)[1], {single}, 'the concept') END"
+
+
+def good_start(c: str) -> str:
+    return f"({c} IS NOT NULL AND length({c}) BETWEEN 15 AND 150 AND lower(regexp_extract({c}, '^\\s*(\\S+)', 1)) NOT IN {S.listed(_SKIPPED)} AND NOT regexp_matches({c}, '\\(\\s*\\)|\\(\\s*-\\s*[0-9]|\\(\\s*Fig') AND NOT regexp_matches({c}, '[A-Z]{{3,}}|[0-9]{{4,}}|[_=<>{{}}\\[\\]]') AND NOT regexp_matches({c}, '(?i)\\b(Meet a|Curiosity|Grade [0-9]|Reprint)\\b'))"
+
+
+_SKIPPED = [*D.STARTS, *"so yet also together inside outside therefore however additionally furthermore moreover nevertheless otherwise firstly secondly thirdly finally note observe remember recall".split()]
+_rows("txt37_key_term", lambda: D.key_term(t()), f"SELECT doc_id, {key_term('text', 'x')} AS value FROM (SELECT doc_id, text, {capitals('text')} AS x FROM documents)")
+_rows("txt38_noun_phrases", lambda: F.array_join(D.noun_phrases(t()), "|"), f"SELECT doc_id, coalesce(array_to_string({phrases('x')}, '|'), '') AS value FROM (SELECT doc_id, {capitals('text')} AS x FROM documents)")
 CLEAN = "array_to_string(list_transform(" + S.tokens() + ", lambda w: w), ' ')"
 for _p, _by in (
     ("(?i)(the fundamental unit of life|chapter\\s*[0-9]+|science|class\\s*(ix|x|9|10)|ncert)", ""), ("(?i)\\b[0-9]{4}CH[0-9]{2}\\b", ""), ("(?i)\\b(Think It Over)\\b", ""), ("Fig(?:ure|\\.)\\s*[0-9]+[.0-9]*\\s*[:-]?\\s*", ""), ("Table\\s*[0-9]+[.0-9]*\\s*[:-]?\\s*", ""),
@@ -143,10 +171,7 @@ def noise_lines(spark, d):
     return lines.groupBy("doc_id").agg(F.count_if(D.is_noise(F.col("line"))).alias("noise"), F.count("*").alias("lines"))
 
 
-_SKIPPED = [*D.STARTS, *"so yet also together inside outside therefore however additionally furthermore moreover nevertheless otherwise firstly secondly thirdly finally note observe remember recall".split()]
-
-
-@query("flt12_good_first_sentence", f"SELECT doc_id, s FROM ({EACH}) WHERE i = 0 AND length(s) BETWEEN 15 AND 150 AND lower(regexp_extract(s, '^\\s*(\\S+)', 1)) NOT IN {S.listed(_SKIPPED)} AND NOT regexp_matches(s, '\\(\\s*\\)|\\(\\s*-\\s*[0-9]|\\(\\s*Fig') AND NOT regexp_matches(s, '[A-Z]{{3,}}|[0-9]{{4,}}|[_=<>{{}}\\[\\]]') AND NOT regexp_matches(s, '(?i)\\b(Meet a|Curiosity|Grade [0-9]|Reprint)\\b')")
+@query("flt12_good_first_sentence", f"SELECT doc_id, s FROM ({EACH}) WHERE i = 0 AND {good_start('s')}")
 def good_first(spark, d):
     return load(spark, d, "documents").select("doc_id", F.get(D.split_sentences(F.col("text")), F.lit(0)).alias("s")).where(D.is_good_start(F.col("s")))
 

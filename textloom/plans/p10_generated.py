@@ -14,6 +14,7 @@ from textloom.operators import memo
 from textloom.operators import question_bank as Q
 from textloom.operators import reports as M
 from textloom.plans import _sql as S
+from textloom.plans import p02_documents as P
 from textloom.plans.p06_histories import CHATS, EVENTS, answer_events, chats
 from textloom.registry import load, query
 from textloom.streaming.answers import reduce_answers
@@ -108,12 +109,25 @@ def _passages(spark, d):
     return load(spark, d, "documents").select(F.struct("doc_id", "source").alias("k"), F.explode(D.passages(F.col("text"))).alias("p"))
 
 
-@query("gen02_biology_questions")
+def _asked(bank: list[tuple[str, str, str]], cues: dict[str, str], subject: str) -> str:
+    """A row for each form of a bank that applies to a passage."""
+    special = {"start": P.good_start("first"), "one": "len(np) >= 1", "two": "len(np) >= 2", "few": "len(np) < 2"}
+    facts = f"""p AS (SELECT doc_id, source AS chapter, p AS text FROM ({P.PASSAGES}) JOIN documents USING (doc_id) WHERE length(p) >= 250 AND length(p) - length(replace(p, '?', '')) <= 3 AND NOT regexp_matches(p, {S.quoted(P.RUN5)})),
+c AS (SELECT *, {P.capitals('text')} AS x FROM p), n AS (SELECT *, {P.phrases('x')} AS np, {P.key_term('text', 'x')} AS kt, coalesce(({P.SENTENCES})[1], string_split(text, '.')[1]) AS first, lower(regexp_extract(text, {S.quoted(cues['list'])}, 1)) AS list, regexp_extract(text, {S.quoted(cues['number'])}, 1) AS number FROM c),
+f AS (SELECT *, np[1] AS a, np[2] AS b, {S.quoted(subject)} AS subject, {S.quoted(subject.lower())} AS low FROM n)"""
+    rows = []
+    for k, (condition, intent, template) in enumerate(bank):
+        holds = " AND ".join(special.get(c) or f"regexp_matches(text, {S.quoted(cues[c])})" for c in condition.split()) or "true"
+        rows.append(f"SELECT doc_id, {k} AS ord, '{intent}' AS intent, {_filled(template)} AS question, md5(text) AS answer_md5 FROM f WHERE {holds}")
+    return f"WITH {facts} " + " UNION ALL ".join(rows)
+
+
+@query("gen02_biology_questions", _asked(Q.BIOLOGY, Q.BIOLOGY_CUES, "biology"))
 def biology(spark, d):
     return G.passage_questions(_passages(spark, d), "k", "p", F.col("k.source")).select("k.doc_id", "ord", "intent", "question", F.md5("answer").alias("answer_md5"))
 
 
-@query("gen03_social_science_questions")
+@query("gen03_social_science_questions", _asked(Q.SOCIAL_SCIENCE, Q.CUES, "Social Science"))
 def social_science(spark, d):
     return G.passage_questions(_passages(spark, d), "k", "p", F.col("k.source"), "Social Science").select("k.doc_id", "ord", "intent", "question", F.md5("answer").alias("answer_md5"))
 
