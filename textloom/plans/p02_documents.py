@@ -102,10 +102,16 @@ WITH c AS (SELECT k, doc_id, unnest(ch) AS c, unnest(range(len(ch))) AS i FROM (
 n AS (SELECT k, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3, lead(c, 4) OVER w AS c4, lead(c, 5) OVER w AS c5 FROM c WINDOW w AS (PARTITION BY k ORDER BY i)),
 b AS (SELECT k, bool_or(coalesce((c = c1 AND c1 = c2 AND c2 = c3 AND c3 = c4 AND c NOT IN (chr(10), chr(13))) OR (c = c1 AND c2 = c3 AND c4 = c5 AND regexp_matches(c || c2 || c4, '^[A-Za-z]{3}$')), false)) AS bad FROM n GROUP BY k)
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN NOT coalesce(bad, false) END AS value FROM (SELECT row_number() OVER () AS k, doc_id, text FROM documents) LEFT JOIN b USING (k)""")
-_rows("txt18_extract_sentences", lambda: F.size(D.extract_sentences(t())))
-_rows("txt30_strip_doubled", lambda: F.md5(D.strip_doubled(t())))
 _rows("txt31_chunk_lines", lambda: F.md5(D.chunk_lines(t())))
-_rows("txt32_collapse_overprint", lambda: F.md5(F.array_join(F.transform(T.split_words(t()), D.collapse_overprint), " ")))
+#: Whether all blocks of so many characters of w are of one character.
+_BLOCKS = "length(w) % {k} = 0 AND length(w) >= {m} AND len(list_filter(range(length(w)), lambda i: w[i + 1] <> w[i + 1 - i % {k}])) = 0"
+_KTH = "array_to_string(list_transform(range(length(w) // {k}), lambda i: w[i * {k} + 1]), '')"
+_PRINTED = "CASE WHEN length(w) IN (4, 5) AND len(list_distinct(string_split(w, ''))) = 1 THEN w[1] " + " ".join(f"WHEN {_BLOCKS.format(k=k, m=2 * k)} THEN {_KTH.format(k=k)}" for k in (5, 4, 3, 2)) + " ELSE w END"
+_rows("txt32_collapse_overprint", lambda: F.md5(F.array_join(F.transform(T.split_words(t()), D.collapse_overprint), " ")), f"WITH t AS ({S.words_of_documents()}), k AS (SELECT w, {_PRINTED} AS c FROM (SELECT DISTINCT w FROM t)), j AS (SELECT doc_id, string_agg(c, ' ' ORDER BY i) AS x FROM t JOIN k USING (w) GROUP BY doc_id) SELECT doc_id, md5(coalesce(x, '')) AS value FROM documents LEFT JOIN j USING (doc_id)")
+_rows("txt30_strip_doubled", lambda: F.md5(D.strip_doubled(t())), f"""
+WITH t AS (SELECT doc_id, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS x FROM documents)), k AS (SELECT w, w <> '' AND NOT contains(w, chr(10)) AND regexp_matches(w, '[\\p{{L}}\\p{{N}}]') AND {_BLOCKS.format(k=2, m=2)} AS f FROM (SELECT DISTINCT w FROM t)),
+n AS (SELECT doc_id, w, i, f, coalesce(lead(f, 1) OVER o, false) AS a, coalesce(lead(f, 2) OVER o, false) AS b, coalesce(lag(f, 1) OVER o, false) AS y, coalesce(lag(f, 2) OVER o, false) AS z FROM t JOIN k USING (w) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+j AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS x FROM n WHERE NOT (f AND (length(w) >= 10 OR (a AND b) OR (y AND a) OR (y AND z))) GROUP BY doc_id) SELECT doc_id, CASE WHEN text IS NOT NULL THEN md5(coalesce(x, '')) END AS value FROM documents LEFT JOIN j USING (doc_id)""")
 _rows("txt36_clean_blob", lambda: F.md5(D.clean_blob(t())))
 
 
@@ -155,7 +161,13 @@ def clean_pages(spark, d):
     return load(spark, d, "documents").where(plain).select("doc_id", F.md5(D.clean_pages(F.col("text"))).alias("value"))
 
 
-@query("txt27_collapse_glyphs")
+#: Runs of equal characters of the distinct tokens.
+GLYPHS = f"""w AS (SELECT w, count(*) AS n FROM ({S.words_of_documents()}) GROUP BY w), c AS (SELECT w, unnest(string_split(w, '')) AS c, unnest(range(length(w))) AS i FROM w),
+g AS (SELECT *, sum(new) OVER (PARTITION BY w ORDER BY i) AS g FROM (SELECT *, (c IS DISTINCT FROM lag(c) OVER (PARTITION BY w ORDER BY i))::INT AS new FROM c)),
+r AS (SELECT w, g, any_value(c) AS c, count(*) AS k FROM g GROUP BY w, g), q AS (SELECT w, string_agg(c, '' ORDER BY g) AS single, min(k) AS least, count(*) AS runs FROM r GROUP BY w)"""
+
+
+@query("txt27_collapse_glyphs", f"WITH {GLYPHS} SELECT w, n AS count, single AS c FROM w JOIN q USING (w) WHERE (least >= 4 OR least >= 3 AND (runs >= 2 OR length(w) >= 6)) AND single <> w")
 def collapse_glyphs(spark, d):
     words = load(spark, d, "documents").select(F.explode(T.split_words(F.col("text"))).alias("w")).groupBy("w").count()
     return words.withColumn("c", D.collapse_glyphs(F.col("w"))).where("c <> w")
@@ -171,6 +183,15 @@ def noise_lines(spark, d):
     return lines.groupBy("doc_id").agg(F.count_if(D.is_noise(F.col("line"))).alias("noise"), F.count("*").alias("lines"))
 
 
+_LONG = "length(s) BETWEEN 60 AND 600 AND length(regexp_replace(s, '[^\\p{L} ]', '', 'g')) / length(s) >= 0.6 AND len(" + S.tokens("s") + f") >= 8 AND NOT regexp_matches(s, '^\\p{{Ll}}') AND NOT regexp_matches(substr(s, 1, 60), '{D.CONSONANTS}')"
+_exploded("txt18_extract_sentences", lambda: D.extract_sentences(t()), f"""
+WITH l AS (SELECT doc_id, x, i, trim(x, ' ') AS s FROM (SELECT doc_id, unnest(y) AS x, unnest(range(len(y))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS y FROM documents))),
+j AS (SELECT doc_id, trim(regexp_replace(string_agg(x, ' ' ORDER BY i), '[\\s\\p{{Z}}]+', ' ', 'g'), ' ') AS t FROM l WHERE NOT ({NOISE}) GROUP BY doc_id),
+p AS (SELECT doc_id, trim(unnest(z), ' ') AS s, unnest(range(len(z))) AS k FROM (SELECT doc_id, string_split(regexp_replace(t, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS z FROM j)),
+u AS (SELECT doc_id, s, k FROM p WHERE {_LONG} QUALIFY row_number() OVER (PARTITION BY doc_id, lower(substr(s, 1, 80)) ORDER BY k) = 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, s AS value FROM u""")
+
+
 @query("flt12_good_first_sentence", f"SELECT doc_id, s FROM ({EACH}) WHERE i = 0 AND {good_start('s')}")
 def good_first(spark, d):
     return load(spark, d, "documents").select("doc_id", F.get(D.split_sentences(F.col("text")), F.lit(0)).alias("s")).where(D.is_good_start(F.col("s")))

@@ -99,7 +99,32 @@ def chapter_quota(spark, d):
     return rows.select("source", "r", kind.alias("kind"), F.when(kind == "query", E.to_query(head, F.lit("samjhao?"))).otherwise(stated).alias("text"), F.when(kind == "gec", E.with_agreement_error(stated)["wrong"]).alias("wrong"))
 
 
-@query("gen01_trivial_questions")
+#: A doubled letter three times over, and runs of one character.
+_GARBLED = "(?:" + "|".join(c * 2 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + "){3}|" + P.RUN5
+_CALLED = "([A-Z][A-Za-z\\s]{2,25}?)\\s+(?:is|are)\\s+(?:called|known as|termed|referred to as)\\s+([A-Z][A-Za-z\\s]{1,25}?)(?:\\.|,)"
+_DEFINED = "^([A-Z][A-Za-z\\s]{2,25}?)\\s+(?:is defined as|refers to|means|is the process of)\\s+(.{15,100}?)(?:\\.|$)"
+_PROCESS = "(?is)^(.*?)(?:process called|process of|organ called|structure called|phenomenon called|method called)\\s+([A-Z][A-Za-z]{2,25})"
+_BEING = "^([A-Z][A-Za-z\\s]{2,25}?)\\s+(?:is|are)\\s+(?:a|an|the)\\s+"
+
+
+def _got(pattern: str, k: int) -> str:
+    return f"trim(regexp_extract(s, '{pattern}', {k}), ' ')"
+
+
+def _starts(x: str) -> str:
+    return f"lower(regexp_split_to_array({x}, '[\\s\\p{{Z}}]+')[1]) NOT IN {S.listed(D.STARTS)}"
+
+
+_BEFORE = f"trim(regexp_extract(regexp_extract(s, '{_PROCESS}', 1), '([^.]*)$', 1), ' ')"
+_WORDS_OF = f"len({S.tokens('s')})"
+
+
+@query("gen01_trivial_questions", f"""WITH s AS (SELECT doc_id, trim(s, ' ') AS s FROM ({P.EACH}) WHERE i < 5), f AS (SELECT * FROM s WHERE length(s) >= 20 AND NOT regexp_matches(s, {S.quoted(_GARBLED)}))
+SELECT doc_id, 'name_the' AS kind, 'What is ' || {_got(_CALLED, 1)} || ' called?' AS question, rtrim({_got(_CALLED, 2)}, '.,;') || '.' AS answer FROM f WHERE {_got(_CALLED, 1)} <> '' AND {_starts(_got(_CALLED, 1))} AND len({S.tokens(f"rtrim({_got(_CALLED, 2)}, '.,;')")}) BETWEEN 1 AND 4
+UNION ALL SELECT doc_id, 'fill_blank', '_____ is defined as ' || {_got(_DEFINED, 2)} || '.', {_got(_DEFINED, 1)} || '.' FROM f WHERE {_got(_DEFINED, 1)} <> '' AND {_starts(_got(_DEFINED, 1))} AND len({S.tokens(_got(_DEFINED, 1))}) <= 4
+UNION ALL SELECT doc_id, 'true_false', 'True or False: ' || rtrim(s, '.') || '.', 'True. ' || rtrim(s, '.') || ' as stated in the NCERT textbook.' FROM f WHERE {_WORDS_OF} BETWEEN 8 AND 22 AND NOT suffix(s, '?') AND len(list_filter(string_split(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: regexp_full_match(w, 'is|are|was|were|have|has|can|produces?|contains?'))) > 0
+UNION ALL SELECT doc_id, 'one_word', 'Name the process or structure: ' || {_BEFORE} || '?', {_got(_PROCESS, 2)} || '.' FROM f WHERE regexp_matches(s, '{_PROCESS}') AND len({S.tokens(_BEFORE)}) >= 4
+UNION ALL SELECT doc_id, 'one_word', 'What is ' || {_got(_BEING, 1)} || '?', CASE WHEN {_WORDS_OF} <= 20 THEN s ELSE array_to_string(({S.tokens('s')})[1:20], ' ') || '.' END FROM f WHERE {_got(_BEING, 1)} <> '' AND {_starts(_got(_BEING, 1))} AND len({S.tokens(_got(_BEING, 1))}) <= 3 AND {_WORDS_OF} >= 6""")
 def trivial(spark, d):
     q = load(spark, d, "documents").select("doc_id", F.explode(G.trivial_questions(D.split_sentences(F.col("text")))).alias("q"))
     return q.select("doc_id", "q.*")
