@@ -376,6 +376,17 @@ def test_languages(spark, odd, empty):
     assert lang_id.identify(odd, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_many_labels_are_learned_in_bounds(spark, monkeypatch):
+    rows = [(i, f"{'abcdefgh'[i % 8] * 3} word {i % 8}", f"l{i % 8}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = lang_id.learn(df)
+    monkeypatch.setattr(lang_id, "OPEN_LANGUAGES", 3)
+    again = lang_id.learn(df.coalesce(1))
+    assert sorted(whole) == sorted(again) and all(np.allclose(whole[k], again[k]) for k in whole)
+    monkeypatch.setattr(lang_id, "MOST_LANGUAGES", 2)
+    assert len(lang_id.learn(df)) == 2
+
+
 def test_language_vector_is_the_sum_of_bound_vectors():
     first, second, third = lang_id.letters()
     g = lang_id.grams("Ab, ba!")

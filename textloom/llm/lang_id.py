@@ -14,6 +14,7 @@ costs little here: 128, 512 and 2,048 name 1,955, 1,957 and 1,958 of 1,960 held-
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from textloom.llm.common import batch_slices, keep_where, map_texts, ship_packag
 LETTERS = 64
 DIMENSIONS = 512
 SEED = 20240611
+OPEN_LANGUAGES = 64
+MOST_LANGUAGES = 4096
 #: Shorter texts' cosines say too little to call a text of no learned language.
 LEAST_TRIGRAMS = 128
 FLOOR_ROWS = 3000
@@ -61,12 +64,14 @@ def grams(text: str | None) -> np.ndarray:
 def bundle(gram: np.ndarray, count: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     first, second, third = letters(dimensions)
     out = np.zeros(dimensions, np.float64)
-    for k in range(0, len(gram), 20_000):
-        g = gram[k : k + 20_000]
+    # Sums below 2 ** 24 are exact in single precision.
+    kind, step = (np.float32, 20_000) if count.sum() < 1 << 24 else (np.float64, 5_000)
+    for k in range(0, len(gram), step):
+        g = gram[k : k + step]
         v = first[g // (LETTERS * LETTERS)]
         v *= second[g // LETTERS % LETTERS]
         v *= third[g % LETTERS]
-        out += count[k : k + 20_000].astype(np.float32) @ v.astype(np.float32)
+        out += count[k : k + step].astype(kind) @ v.astype(kind)
     return out
 
 
@@ -81,28 +86,44 @@ def gram_vector(g: np.ndarray) -> np.ndarray | None:
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Prototypes from all rows with a language. Each task bundles its rows; sums are made by Spark."""
+    """Prototypes from all rows with a language. Each task bundles its rows; sums are made by Spark.
+
+    A task holds the counts of OPEN_LANGUAGES at once. Of more than MOST_LANGUAGES labels (a dirty column) those with
+    most learning rows count.
+    """
     ship_package(df.sparkSession)
 
+    def flush(total: dict[str, np.ndarray], rows: Counter) -> Iterator[pa.RecordBatch]:
+        for lang, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "n": [rows[lang]], "v": [bundle(at, n[at]).tolist()]}, schema=pa.schema([("lang", pa.string()), ("n", pa.int64()), ("v", pa.list_(pa.float64()))]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+        rows: Counter = Counter()
         for b in batches:
             for langs, texts in batch_slices(b):
                 of: dict[str, list[np.ndarray]] = {}
                 for lang, t in zip(langs, texts, strict=True):
                     of.setdefault(lang, []).append(grams(t))
                 for lang, found in of.items():
+                    if lang not in total and len(total) >= OPEN_LANGUAGES:
+                        yield from flush(total, rows)
+                        total.clear()
+                        rows.clear()
                     total.setdefault(lang, np.zeros(LETTERS**3, np.int64))
                     total[lang] += np.bincount(np.concatenate(found), minlength=LETTERS**3)
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "v": [bundle(at, n[at]).tolist()]}, schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))]))
+                    rows[lang] += len(found)
+        yield from flush(total, rows)
 
-    rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, v array<double>")
-    sums = rows.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x")).collect()
+    rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, n long, v array<double>")
+    sums = rows.select("lang", "n", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    whole = sums.groupBy("lang").agg(F.max("n").alias("n"), F.collect_list(F.struct("k", "x")).alias("v"))
     out: dict[str, np.ndarray] = {}
-    for r in sums:
-        out.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["k"]] = r["x"]
+    for r in whole.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect():
+        v = out[r["lang"]] = np.zeros(DIMENSIONS)
+        for k, x in r["v"]:
+            v[k] = x
     return {k: v / n for k, v in sorted(out.items()) if (n := np.linalg.norm(v)) > 0}
 
 
