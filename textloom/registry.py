@@ -32,5 +32,34 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: Tables whose rows are texts: work on them outweighs moving them.
+TEXTS = ("documents", "pages")
+#: Bytes from which it pays to deal them out.
+SPREAD_BYTES = 4_000_000
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of Parquet files with fewer row groups than there are tasks, dealt out to all tasks.
+
+    A row group is read by one task, so a table in one row group would keep one core busy. Tables
+    of many files, as any large one is, are read as they are; only the footers of few files are looked at.
+    """
+    spark = rows.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    files = rows.inputFiles()
+    if len(files) >= tasks:
+        return rows
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    groups = size = 0
+    for f in files:
+        file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+        groups += reader.getRowGroups().size()
+        size += file.getLength()
+        reader.close()
+    return rows.repartition(tasks) if groups < tasks and size >= SPREAD_BYTES else rows
