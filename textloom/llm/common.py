@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.registry import load
 from textloom.shipping import ship_package
 
 #: Bytes of text handled at once by a Python worker.
@@ -21,7 +22,7 @@ SLICE_BYTES = 5_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return load(spark, sf_dir, name)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
