@@ -17,9 +17,9 @@ import regex
 from textloom.llm.bpe import WHITE, WordBpe
 from textloom.llm.common import slices
 
-MOST_WORDS = 800_000
+MOST_WORDS = 600_000
 POWERS = 4096
-SLICE = 3_000_000
+SLICE = 2_000_000
 SEPARATOR = "\n"
 
 
