@@ -102,7 +102,6 @@ WITH c AS (SELECT k, doc_id, unnest(ch) AS c, unnest(range(len(ch))) AS i FROM (
 n AS (SELECT k, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3, lead(c, 4) OVER w AS c4, lead(c, 5) OVER w AS c5 FROM c WINDOW w AS (PARTITION BY k ORDER BY i)),
 b AS (SELECT k, bool_or(coalesce((c = c1 AND c1 = c2 AND c2 = c3 AND c3 = c4 AND c NOT IN (chr(10), chr(13))) OR (c = c1 AND c2 = c3 AND c4 = c5 AND regexp_matches(c || c2 || c4, '^[A-Za-z]{3}$')), false)) AS bad FROM n GROUP BY k)
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN NOT coalesce(bad, false) END AS value FROM (SELECT row_number() OVER () AS k, doc_id, text FROM documents) LEFT JOIN b USING (k)""")
-_rows("txt31_chunk_lines", lambda: F.md5(D.chunk_lines(t())))
 #: Whether all blocks of so many characters of w are of one character.
 _BLOCKS = "length(w) % {k} = 0 AND length(w) >= {m} AND len(list_filter(range(length(w)), lambda i: w[i + 1] <> w[i + 1 - i % {k}])) = 0"
 _KTH = "array_to_string(list_transform(range(length(w) // {k}), lambda i: w[i * {k} + 1]), '')"
@@ -112,7 +111,28 @@ _rows("txt30_strip_doubled", lambda: F.md5(D.strip_doubled(t())), f"""
 WITH t AS (SELECT doc_id, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS x FROM documents)), k AS (SELECT w, w <> '' AND NOT contains(w, chr(10)) AND regexp_matches(w, '[\\p{{L}}\\p{{N}}]') AND {_BLOCKS.format(k=2, m=2)} AS f FROM (SELECT DISTINCT w FROM t)),
 n AS (SELECT doc_id, w, i, f, coalesce(lead(f, 1) OVER o, false) AS a, coalesce(lead(f, 2) OVER o, false) AS b, coalesce(lag(f, 1) OVER o, false) AS y, coalesce(lag(f, 2) OVER o, false) AS z FROM t JOIN k USING (w) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 j AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS x FROM n WHERE NOT (f AND (length(w) >= 10 OR (a AND b) OR (y AND a) OR (y AND z))) GROUP BY doc_id) SELECT doc_id, CASE WHEN text IS NOT NULL THEN md5(coalesce(x, '')) END AS value FROM documents LEFT JOIN j USING (doc_id)""")
-_rows("txt36_clean_blob", lambda: F.md5(D.clean_blob(t())))
+#: Doubled tokens of w's neighbours leave: see strip_doubled.
+_DOUBLED = f"w <> '' AND NOT contains(w, chr(10)) AND regexp_matches(w, '[\\p{{L}}\\p{{N}}]') AND {_BLOCKS.format(k=2, m=2)}"
+_LEAVES = "(f AND (length(w) >= 10 OR (a AND b) OR (y AND a) OR (y AND z)))"
+_BAD = ["(?i)^Reprint\\s+[0-9]{4}[-–][0-9]{2,4}$", "Reprint 2025-26", "Reprint 2024-25", "(?i)^(Fig\\.|Figure|Table)\\s*[0-9.]+", "^Activity\\s*_{2,}\\s*[0-9]+", "^[A-Z]{3,}(\\s+[A-Z]{3,}){2,}$", "^[0-9]{5,}(\\s*[0-9]{5,})*\\s*$", "^(wonk ot eroM|rethguaD sllec|Meiosis-II|Meiosis-I)$"]
+_rows("txt31_chunk_lines", lambda: F.md5(D.chunk_lines(t())), f"""
+WITH l AS (SELECT doc_id, i, trim(x, ' ') AS x FROM (SELECT doc_id, unnest(y) AS x, unnest(range(len(y))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS y FROM documents))),
+t AS (SELECT doc_id, i, unnest(v) AS w, unnest(range(len(v))) AS k FROM (SELECT doc_id, i, string_split(x, ' ') AS v FROM l)), d AS (SELECT w, {_DOUBLED} AS f FROM (SELECT DISTINCT w FROM t)),
+n AS (SELECT doc_id, i, w, k, f, coalesce(lead(f, 1) OVER o, false) AS a, coalesce(lead(f, 2) OVER o, false) AS b, coalesce(lag(f, 1) OVER o, false) AS y, coalesce(lag(f, 2) OVER o, false) AS z FROM t JOIN d USING (w) WINDOW o AS (PARTITION BY doc_id, i ORDER BY k)),
+s AS (SELECT doc_id, i, trim(string_agg(w, ' ' ORDER BY k), ' ') AS y FROM n WHERE NOT {_LEAVES} GROUP BY doc_id, i),
+g AS (SELECT doc_id, i, CASE WHEN x = '' THEN '' ELSE y END AS y FROM l LEFT JOIN s USING (doc_id, i) WHERE x = '' OR (length(coalesce(y, '')) >= 20 AND NOT ({' OR '.join(f'regexp_matches(x, {S.quoted(p)})' for p in _BAD)}))),
+j AS (SELECT doc_id, string_agg(y, chr(10) ORDER BY i) AS z FROM g GROUP BY doc_id)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(z, ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), '[A-Z]{{4,}}[a-z]{{4,}}[A-Z][\\p{{L}}\\p{{N}}_.()]*(?:\\s+[0-9.()]{{4,}})*', '', 'g'), '  +', ' ', 'g'), ' ')) AS value FROM documents LEFT JOIN j USING (doc_id)""")
+#: A doubled letter three times over.
+PAIRS3 = "(?:" + "|".join(c * 2 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + "){3}"
+_PART = "x"
+for _p in (PAIRS3, RUN5, "\\b(?:Grade\\s+[0-9]+|Reprint\\s+[0-9]{4}|ExplorationGrade[0-9]+)\\s+\\w*", "\\bCuriosity\\s+", "\\sy\\s+(?:Where|How|What|Why|When|Which|Who|Can|Is|Are|Do|Does)\\b[^.!?]*[.!?]?", "[\\s\\p{Z}]+"):
+    _PART = f"regexp_replace({_PART}, {S.quoted(_p)}, ' ', 'g')"
+_rows("txt36_clean_blob", lambda: F.md5(D.clean_blob(t())), f"""
+WITH l AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\\r\\n|[\\n\\x0B\\f\\r]', chr(10), 'g'), chr(10)) AS y FROM documents),
+b AS (SELECT doc_id, CASE WHEN len(y) > 5 THEN array_to_string(list_filter(list_transform(y, lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, {S.quoted(D.SKIPPED_LINE)}) AND NOT regexp_matches(x, '^[0-9]+$') AND NOT regexp_matches(x, {S.quoted(PAIRS3 + '|' + RUN5)})), ' ')
+ELSE array_to_string(list_filter(list_transform(string_split(regexp_replace(array_to_string(y, ' '), {S.quoted(D.PAGE_MARK)}, chr(1), 'g'), chr(1)), lambda x: trim({_PART}, ' ')), lambda x: length(x) > 50), ' ') END AS z FROM l)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(z, '^[A-Z][A-Za-z:\\s]{{5,60}}(?:Life|Science|Society|History|Geography|Economics|Civics|Action)\\s+([A-Z][a-z])', '\\1'), '^Chapter\\s+[0-9]+\\s+', ''), ' ')) AS value FROM b""")
 
 
 def touched(c: str, pattern: str) -> str:
