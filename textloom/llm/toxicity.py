@@ -143,7 +143,7 @@ class Kernel:
         norm = np.sqrt(np.bincount(row, total**2, len(words)))
         return row, both % KEYS, total / norm[row]
 
-    def between(self, words: list[str], others: list[str], turn: np.ndarray | None = None) -> np.ndarray:
+    def between(self, words: list[str], others: list[str], turn: np.ndarray | None = None, kind: type = np.float32) -> np.ndarray:
         """Normalised kernels, words by others (times ``turn``)."""
         row, key, weight = self.bundled(others)
         known, at = np.unique(key, return_inverse=True)
@@ -153,7 +153,7 @@ class Kernel:
         table[at, row] = weight
         if turn is not None:
             table = table @ turn.astype(np.float32)
-        out = np.zeros((len(words), table.shape[1]), np.float32)
+        out = np.zeros((len(words), table.shape[1]), kind)
         for k in range(0, len(words), 400):
             r, s, w = self.bundled(words[k : k + 400])
             p = place[s]
@@ -166,7 +166,9 @@ class Kernel:
     def spread(self, words: list[str], most: int, near: float) -> list[str]:
         """The first words, leaving out those near one already taken."""
         words = words[: most * 12]
-        k = self.between(words, words)
+        if not words:
+            return []
+        k = np.hstack([self.between(words, words[j : j + 100]) for j in range(0, len(words), 100)])
         taken: list[int] = []
         for i in range(len(words)):
             if len(taken) < most and k[i, i] > 0 and (not taken or k[i, taken].max() < near):
@@ -174,8 +176,8 @@ class Kernel:
         return [words[i] for i in taken]
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-4, rounds: int = 20, block: int = 8192) -> tuple[np.ndarray, float]:
-    """Squared-hinge machine by Newton steps on the active rows, block by block."""
+def fit_machine(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-4, rounds: int = 20, block: int = 4096) -> tuple[np.ndarray, float]:
+    """Squared-hinge machine by Newton steps on the active rows, block by block; rows may be held in half precision."""
     d = x.shape[1] + 1
     w, keep = np.zeros(d), np.full(d, ridge)
     keep[-1] = 1e-6
@@ -186,12 +188,12 @@ def fit_machine(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float =
         square, pull = np.diag(keep), np.zeros(d)
         for k in range(0, len(active), block):
             at = active[k : k + block]
-            a = np.hstack([x[at], np.ones((len(at), 1), np.float32)])
+            a = np.hstack([x[at].astype(np.float32), np.ones((len(at), 1), np.float32)])
             s = share[at]
             square += (a * s[:, None].astype(np.float32)).T @ a
             pull += a.T @ (s * y[at])
         step = np.linalg.solve(square, pull) - w
-        along = y * (x @ step[:-1].astype(np.float32) + step[-1])
+        along = y * (np.concatenate([x[k : k + block].astype(np.float32) @ step[:-1].astype(np.float32) for k in range(0, len(x), block)]) + step[-1])
         now, scale = loss(margin, w), 1.0
         while loss(margin + scale * along, w + scale * step) > now and scale > 1e-6:
             scale /= 2
@@ -247,8 +249,8 @@ class Machine:
     def values(self, words: list[str]) -> np.ndarray:
         """The machine's value of each word of at most LONGEST letters, 0 at least."""
         out = np.zeros(len(words), np.float64)
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
+        for k in range(0, len(words), 5_000):
+            part = words[k : k + 5_000]
             total = self.bias * self.least[np.fromiter(map(len, part), np.int64, len(part))]
             for row, key, reach in self.kernel.subsequences(part):
                 total += np.bincount(row, self.table[key], len(part)) * WEIGHTS[reach]
@@ -308,7 +310,9 @@ def unlike(bags: list[set[str]], least: int = 8) -> list[set[str]]:
 
 def train(toxic: list[str], clean: list[str]) -> Machine:
     """A machine from labelled texts."""
-    bags, others = unlike([tokens(t) for t in toxic]), unlike([tokens(t) for t in clean])
+    known: dict[str, str] = {}  # a token of many texts is held once
+    bags, others = (unlike([{known.setdefault(w, w) for w in tokens(t)} for t in texts]) for texts in (toxic, clean))
+    known.clear()
     if not bags or not others:
         return flat(len(toxic), len(clean))
     t = Counter(w for b in bags for w in {r for x in b for r in readings(x)})
@@ -343,7 +347,7 @@ def train(toxic: list[str], clean: list[str]) -> Machine:
         for part, mass in ((slice(0, a), 0.5), (slice(a, b), 0.5), (slice(b, None), 1.0)):
             weights[part] *= mass / max(weights[part].sum(), 1e-9)
         y = np.r_[np.ones(b), -np.ones(len(rest))]
-        w, bias = fit_machine(kernel.between(words, landmarks, half), y, weights)
+        w, bias = fit_machine(kernel.between(words, landmarks, half, np.float16), y, weights)
         beta = half @ w
         row, key, weight = kernel.bundled(landmarks)
         keys, at = np.unique(key, return_inverse=True)
@@ -351,9 +355,9 @@ def train(toxic: list[str], clean: list[str]) -> Machine:
         machine = Machine(kernel.letters, keys, table, bias, np.zeros(3), landmarks, beta)
         if not last:
             value = np.zeros(len(rest))
-            for k in range(0, len(rest), 20_000):
-                r, s, u = kernel.bundled(rest[k : k + 20_000])
-                value[k : k + 20_000] = np.bincount(r, machine.table[s] * u, len(rest[k : k + 20_000])) + bias
+            for k in range(0, len(rest), 5_000):
+                r, s, u = kernel.bundled(rest[k : k + 5_000])
+                value[k : k + 5_000] = np.bincount(r, machine.table[s] * u, len(rest[k : k + 5_000])) + bias
             order = [i for i in np.lexsort((np.arange(len(rest)), -value)) if value[i] > -0.6 and not rare(rest[i])]
             hard = {rest[i] for i in order}
             only = sorted(w for w in t if w not in c and w not in positives)
