@@ -63,29 +63,34 @@ def parse_sse(lines: DataFrame, schema: str, column: str = "value") -> DataFrame
     return lines.where(F.startswith(F.col(column), F.lit("data: "))).select(F.from_json(F.substring(F.col(column), F.lit(7), F.length(column)), schema).alias("e")).select("e.*")
 
 
-#: A key's rows that one task may sort to number them.
+#: A key's rows that one task may sort to number them, and ranges that a key is cut into at most.
 HOT_ROWS = 1_000_000
+MOST_RANGES = 50_000
 
 
 def number_within(rows: DataFrame, key: str, order: str, name: str, start: int | Column = 0) -> DataFrame:
     """Numbers from start + 1 in each key's order.
 
-    Keys with more than HOT_ROWS rows are cut into ranges of the order, at values of a sample that the driver holds
-    (20,000 at most); ranges are numbered side by side, each from the count of those before it.
+    Keys with more than HOT_ROWS rows and a thousandth of all (so at most a thousand keys) are cut into ranges of the
+    order, at values of a sample that the driver holds (ten a range); ranges are numbered side by side, each from the
+    count of those before it.
     """
-    hot = {r[key]: r["count"] for r in rows.groupBy(key).count().where(F.col("count") > HOT_ROWS).collect()}
+    counts = rows.groupBy(key).count()
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    hot = {r[key]: r["count"] for r in counts.where(F.col("count") > max(HOT_ROWS, total // 1000)).collect()}
     if not hot:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)) + start)
-    is_hot = reduce(lambda a, b: a | b, [F.col(key).eqNullSafe(F.lit(k)) for k in hot])
+    is_hot = F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(None in hot))
+    ranges = {k: min(MOST_RANGES, -(-n // HOT_ROWS) * 2) for k, n in hot.items()}
     seen: dict = {k: [] for k in hot}
-    for r in rows.where(is_hot).select(key, order).sample(min(1.0, 10_000 / sum(hot.values())), seed=7).limit(20_000).collect():
+    for r in rows.where(is_hot).select(key, order).sample(min(1.0, 10 * sum(ranges.values()) / sum(hot.values())), seed=7).toLocalIterator():
         if r[order] is not None:
             seen[r[key]].append(r[order])
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, order)}
     cuts = []
     for k, values in seen.items():
         values.sort()
-        parts = -(-hot[k] // HOT_ROWS) * 2
+        parts = ranges[k]
         cuts.append((k, sorted({values[len(values) * i // parts] for i in range(1, parts)} if values else set())))
     bounds = rows.sparkSession.createDataFrame(cuts, f"_k {kinds[key]}, _cuts array<{kinds[order]}>")
     place = F.size(F.filter(F.coalesce("_cuts", F.array().cast(f"array<{kinds[order]}>")), lambda c: c < F.col(order)))
