@@ -121,6 +121,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, fn: Callab
 def keep_where(df: DataFrame, text_col: str, load: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
     """The rows whose text a function keeps, with all their columns, in one pass: nothing is joined or written.
 
+    Columns may be of any type that Arrow carries.
     ``load`` makes the function once for each task; it gets slices of whole texts (null ones too).
     """
     ship_package(df.sparkSession)
