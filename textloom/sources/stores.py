@@ -79,7 +79,7 @@ def number_within(rows: DataFrame, key: str, order: str, name: str, start: int |
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     hot = {r[key]: r["count"] for r in counts.where(F.col("count") > max(HOT_ROWS, total // 1000)).collect()}
     if not hot:
-        return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)) + start)
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long") + start)
     is_hot = F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(None in hot))
     ranges = {k: min(MOST_RANGES, -(-n // HOT_ROWS) * 2) for k, n in hot.items()}
     seen: dict = {k: [] for k in hot}
@@ -99,8 +99,8 @@ def number_within(rows: DataFrame, key: str, order: str, name: str, start: int |
     ahead = F.sum("count").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # ranges, not rows
     sizes = sizes.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.coalesce(ahead, F.lit(0)).alias("_ahead"))
     numbered = placed.join(F.broadcast(sizes), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")), "left")
-    number = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)) + F.coalesce("_ahead", F.lit(0)) + start
-    return numbered.withColumn(name, number.cast("int")).drop("_k", "_p", "_part", "_ahead")
+    number = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)).cast("long") + F.coalesce("_ahead", F.lit(0)) + start
+    return numbered.withColumn(name, number).drop("_k", "_p", "_part", "_ahead")
 
 
 def replace_part(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
