@@ -28,7 +28,7 @@ def test_placeholders():
 
 
 def test_names_and_backends(spark):
-    assert X.model_path("muril-lid", "d", {"MURIL_LID_PATH": "/m"}) == "/m" and X.model_path("x", "d", {"MODEL_DIR": "/all/"}) == "/all/x" and X.model_path("x", "d", {}) == "d"
+    assert X.model_path("word-tagger", "d", {"WORD_TAGGER_PATH": "/m"}) == "/m" and X.model_path("x", "d", {"MODEL_DIR": "/all/"}) == "/all/x" and X.model_path("x", "d", {}) == "d"
     with pytest.raises(ValueError, match="no backend"):
         X.use_backend("nothing")
     X.use_backend("upper", F.upper)
