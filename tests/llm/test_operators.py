@@ -719,8 +719,8 @@ class TestTables:
         a, b, c, d, e, f = single[:6]
         # Without an id: toxic, no letters, clean and single, a copy of a row with an id, two copies of each other. With one id: toxic and clean; two clean texts.
         rows = [(None, toxic), (None, "123 456"), (None, a), (None, b), (1, b), (None, c), (None, c), (7, toxic), (7, d), (8, e), (8, f), (None, None)]
-        left = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("x"))
+        left = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("_row", "_n", "_gone", "_text", "place", "component_id")})
         for _, stage in corpus_pipeline.STAGES[:-1]:
             left = stage(spark, left, LABELLED)
-            assert left.columns == ["doc_id", "text", "_row"]
+            assert left.columns == ["doc_id", "text", "_row", "_n", "_gone", "_text", "place", "component_id"]
         assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(None, a), (1, b), (None, c), (7, d), (8, e), (8, f)])
