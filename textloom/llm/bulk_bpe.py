@@ -19,7 +19,7 @@ from textloom.llm.common import slices
 
 MOST_WORDS = 600_000
 POWERS = 4096
-SLICE = 2_000_000
+SLICE = 1_000_000
 SEPARATOR = "\n"
 
 

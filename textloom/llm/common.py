@@ -18,7 +18,7 @@ from textloom.registry import load
 from textloom.shipping import ship_package
 
 #: Bytes of text handled at once by a Python worker.
-SLICE_BYTES = 5_000_000
+SLICE_BYTES = 3_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

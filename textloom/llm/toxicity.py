@@ -58,7 +58,7 @@ SAMPLE_CLEAN = 2500
 SAMPLE_LONGEST = 1_000_000
 SAMPLE_CHARS = 16_000_000
 LANDMARKS = 360
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 KEYS = LETTERS**ORDER
 OFFSETS = [x for x in combinations(range(1, SPAN), ORDER - 1)]
 WEIGHTS = DECAY ** (np.arange(SPAN) + 1.0)
