@@ -387,6 +387,18 @@ def test_many_labels_are_learned_in_bounds(spark, monkeypatch):
     assert len(lang_id.learn(df)) == 2
 
 
+def test_floor_counts_all_rows(spark):
+    """Low texts whose ids a sample of every third hash would leave out."""
+    plain, odd = "a plain sentence of some common words " * 6, "zq xj vk plain wp sentence zzx qqj " * 6
+    prototypes = {"aa": (v := lang_id.text_vector(plain)) / np.linalg.norm(v)}
+    low = (F.col("id") % 50 == 0) & (F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(3)) > 0)
+    df = spark.range(7000).select(F.col("id").alias("doc_id"), F.when(low, odd).otherwise(plain).alias("text"))
+    least = lang_id.nearest(odd, *lang_id.stacked(prototypes))[1]
+    assert 0 < least < 0.8 and df.where(F.col("text") == odd).count() > 14
+    assert lang_id.FLOOR_SHARE * (least - 1e-5) <= lang_id.floor(df, prototypes) <= lang_id.FLOOR_SHARE * least
+    assert lang_id.floor(df.where(F.length("text") < 9), prototypes) == 0
+
+
 def test_language_vector_is_the_sum_of_bound_vectors():
     first, second, third = lang_id.letters()
     g = lang_id.grams("Ab, ba!")

@@ -31,7 +31,8 @@ OPEN_LANGUAGES = 64
 MOST_LANGUAGES = 4096
 #: Shorter texts' cosines say too little to call a text of no learned language.
 LEAST_TRIGRAMS = 128
-FLOOR_ROWS = 3000
+FLOOR_STEPS = 100_000
+FLOOR_BELOW = 0.002
 FLOOR_SHARE = 0.6
 
 
@@ -168,10 +169,15 @@ def keep_known(df: DataFrame, prototypes: dict[str, np.ndarray], least: float, t
 def floor(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> float:
     """A cosine that texts of LEAST_TRIGRAMS trigrams or more in a learned language hardly fall below.
 
-    FLOOR_SHARE of the cosine that all but two in a thousand learning texts of that size reach, measured on
-    about FLOOR_ROWS rows, chosen by a hash of their id; 0 without such rows.
+    FLOOR_SHARE of the cosine that all but FLOOR_BELOW of the learning texts of that size reach, counted over
+    all rows in steps of 1 / FLOOR_STEPS and rounded down to a step; 0 without such rows.
     """
-    every = max(1, -(-df.count() // FLOOR_ROWS))
-    some = df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(every)) == 0)
-    found = identify(some, prototypes, id_col, text_col).where(F.col("trigrams") >= LEAST_TRIGRAMS).agg(F.percentile_approx("score", 0.002)).first()[0]
-    return FLOOR_SHARE * (found or 0.0)
+    step = F.floor(F.col("score") * FLOOR_STEPS).alias("step")
+    found = identify(df, prototypes, id_col, text_col).where(F.col("trigrams") >= LEAST_TRIGRAMS).groupBy(step).agg(F.count("*").alias("n"))
+    steps = sorted((r["step"], r["n"]) for r in found.collect())
+    below = FLOOR_BELOW * sum(n for _, n in steps)
+    for at, n in steps:
+        below -= n
+        if below <= 0:
+            return FLOOR_SHARE * at / FLOOR_STEPS
+    return 0.0
