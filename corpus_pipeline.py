@@ -2,7 +2,8 @@
 of near-duplicates stays, and what is left is packed into sequences.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. The first three
-return the columns of documents; the last returns pieces with their places.
+return the columns of documents; the last returns pieces with their places. Documents in fewer
+Parquet row groups than there are tasks are dealt out to all tasks by the first two stages.
 
 Defined results: null and empty texts, and texts without a letter, have no language and go in
 stage 2, as do longer texts that are far from all learned languages; short ones stay. An empty table
@@ -21,16 +22,17 @@ from textloom.llm import lang_id, packing, simhash_vp
 from textloom.llm import toxicity as tox
 from textloom.llm.common import discard, held_out, materialize, table
 from textloom.llm.queries import toxicity_machine
+from textloom.registry import spread
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tox.keep_clean(docs, toxicity_machine(spark, sf_dir))
+    return tox.keep_clean(spread(docs), toxicity_machine(spark, sf_dir))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "documents").where(~held_out() & F.col("lang").isNotNull())
     prototypes = lang_id.learn(known)
-    return lang_id.keep_known(docs, prototypes, lang_id.floor(known, prototypes))
+    return lang_id.keep_known(spread(docs), prototypes, lang_id.floor(known, prototypes))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from textloom.llm import bpe, bulk_bpe, html_text, lang_id, licenses, media, packing, quality_rules, ragged, simhash_vp, token_counts, toxicity
 from textloom.llm.queries import oracle_sql, queries
+from textloom.registry import spread
 
 P = pytest.importorskip("public_tokenizers")
 DATA = "/root/testdata/sf0.001"
@@ -706,6 +707,17 @@ class TestTables:
         assert packed.groupby("doc_id").length.sum().to_dict() == lengths
         assert packed.sequence_id.nunique() == best_fit(packed.length.tolist(), 2048)
 
+    def test_pipeline_deals_out_a_single_row_group(self, spark):
+        docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:2]:
+            out = stage(spark, docs, LABELLED).cache()
+            tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(tasks) == spark.sparkContext.defaultParallelism and max(tasks) < 2 * min(tasks)
+            assert out.columns == docs.columns and out.exceptAll(docs).isEmpty() and out.count() > 0.9 * docs.count()
+            out.unpersist()
+        dealt = spread(docs)
+        assert dealt.columns == docs.columns and dealt.exceptAll(docs).isEmpty() and docs.exceptAll(dealt).isEmpty()
+
     def test_pipeline_odd_rows(self, spark):
         docs = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "the action of the other thing was in there", "en", "s", 3), (2, "", "en", "s", 0), (3, "the action of the other thing was in there", "en", "s", 3), (3, "the action of the other thing was in there", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("x"))
         for _, stage in corpus_pipeline.STAGES[:-1]:

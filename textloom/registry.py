@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.shipping import ship_package
 
@@ -48,11 +50,13 @@ def spread(rows: DataFrame) -> DataFrame:
 
     A row group is read by one task, so a table in one row group would keep one core busy. Tables
     of many files, as any large one is, are read as they are; only the footers of few files are looked at.
+    Rows that are not of Parquet files stay as they are. Rows are dealt by their place in the file, which needs no sort
+    of whole texts beside the row group in memory, as a round robin does, and is the same if a task is repeated.
     """
     spark = rows.sparkSession
     tasks = spark.sparkContext.defaultParallelism
     files = rows.inputFiles()
-    if len(files) >= tasks:
+    if len(files) >= tasks or not all(f.endswith(".parquet") for f in files):
         return rows
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     groups = size = 0
@@ -62,4 +66,9 @@ def spread(rows: DataFrame) -> DataFrame:
         groups += reader.getRowGroups().size()
         size += file.getLength()
         reader.close()
-    return rows.repartition(tasks) if groups < tasks and size >= SPREAD_BYTES else rows
+    if groups >= tasks or size < SPREAD_BYTES:
+        return rows
+    try:
+        return rows.repartition(tasks, F.col("_metadata.row_index"))
+    except AnalysisException:  # no rows as they stand in files
+        return rows.repartition(tasks)
